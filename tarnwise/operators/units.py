@@ -83,44 +83,71 @@ def unit_dictionary(items: DataFrame, units: DataFrame) -> DataFrame:
     return tests.join(per_test, F.lower("test") == F.col("t")).join(common, "t", "left").select("itemid", "test", "unit_key", "unit_code", "factor", "is_common", "common_code")
 
 
+#: Distinct (itemid, label, valueuom) triples up to which spellings are resolved once per triple.
+TRIPLES = 500_000
+
+
 def to_common_units(readings: DataFrame, items: DataFrame, units: DataFrame) -> DataFrame:
-    """Each reading with `unit_code`, `unit_from` (field, text, default, none) and `value_common`.
+    """Each reading with unit_code, unit_from (field, text, default, none), common_code, value_common and in_common_unit.
 
     Needs itemid, label, valuenum, valueuom in `readings`; other columns pass through,
     columns named like a result's are replaced. A unit field that names no unit of the
     item's test yields to the label's text; a row that names none is taken to be in the
     common unit (`default`); an item without a test keeps its value (`none`). Null and
-    NaN values give null. Rows are never lost or repeated. No shuffle: the dictionary
-    is broadcast after its size is checked.
+    NaN values give null. Rows are never lost or repeated.
+
+    Spellings repeat, so they are resolved once per distinct triple of item, label and
+    unit field (a map-side combined distinct) and joined back by broadcast; where the
+    triples are too many for that, each row is resolved in place. No reading is shuffled.
     """
-    base = readings.drop("unit_code", "unit_from", "value_common", "common_code")
-    lookup = broadcast_if_small(unit_dictionary(items, units))
-    names = broadcast_if_small(
-        items.select("itemid", F.trim("label").alias("_test")).filter(F.length("_test") > 0).dropDuplicates(["itemid"])
+    base = readings.drop("unit_code", "unit_from", "value_common", "common_code", "in_common_unit")
+    keys = ["itemid", "label", "valueuom"]
+    triples = base.select(*keys).distinct()
+    resolved = _resolve(triples, items, units)
+    head = resolved.limit(TRIPLES + 1).toArrow()
+    if head.num_rows <= TRIPLES:
+        known = F.broadcast(base.sparkSession.createDataFrame(head, resolved.schema))
+        known = known.select(*[F.col(k).alias(f"_{k}") for k in keys], "_to")
+        same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+        joined = base.join(known, same, "left").drop(*[f"_{k}" for k in keys])
+    else:
+        joined = _resolve(base, items, units)
+    value = F.when(~F.isnan("valuenum"), F.col("valuenum"))
+    return joined.select(
+        *[F.col(f"`{c}`") for c in base.columns],
+        *[F.col(f"_to.{c}").alias(c) for c in ("unit_code", "unit_from", "common_code")],
+        (value * F.col("_to.factor")).alias("value_common"),
+        F.col("_to.is_common").alias("in_common_unit"),
     )
-    field = lookup.select(F.col("itemid").alias("_fi"), F.col("unit_key").alias("_fk"), F.struct("unit_code", "factor", "is_common", "common_code").alias("_field"))
-    text = lookup.select(F.col("itemid").alias("_ti"), F.col("unit_key").alias("_tk"), F.struct("unit_code", "factor", "is_common", "common_code").alias("_text"))
-    common = broadcast_if_small(
-        items.select(F.col("itemid").alias("_ci"), F.lower(F.trim("label")).alias("_cl"))
-        .dropDuplicates(["_ci"])
-        .join(units.filter("is_common").groupBy(F.lower(F.trim("label")).alias("_cl")).agg(F.min("unit_code").alias("_common")), "_cl")
-        .drop("_cl")
+
+
+def _resolve(rows: DataFrame, items: DataFrame, units: DataFrame) -> DataFrame:
+    """`rows` with a struct `_to`: the unit each is recorded in and the way to the common one."""
+    lookup = broadcast_if_small(unit_dictionary(items, units))
+    tests = broadcast_if_small(
+        items.select("itemid", F.trim("label").alias("_test"))
+        .filter(F.length("_test") > 0)
+        .dropDuplicates(["itemid"])
+        .join(units.filter("is_common").groupBy(F.lower(F.trim("label")).alias("_l")).agg(F.min("unit_code").alias("_common")), F.lower("_test") == F.col("_l"), "left")
+        .drop("_l")
     )
+    named = F.struct("unit_code", "factor", "is_common", "common_code")
+    field = lookup.select(F.col("itemid").alias("_fi"), F.col("unit_key").alias("_fk"), named.alias("_field"))
+    text = lookup.select(F.col("itemid").alias("_ti"), F.col("unit_key").alias("_tk"), named.alias("_text"))
     joined = (
-        base.join(names, "itemid", "left")
+        rows.join(tests, "itemid", "left")
         .withColumn("_uk", unit_key(F.col("valueuom")))
         .withColumn("_lk", unit_key(unit_in_label(F.col("label"), F.col("_test"))))
         .join(field, (F.col("itemid") == F.col("_fi")) & (F.col("_uk") == F.col("_fk")), "left")
         .join(text, (F.col("itemid") == F.col("_ti")) & (F.col("_lk") == F.col("_tk")), "left")
-        .join(common, F.col("itemid") == F.col("_ci"), "left")
         .withColumn("_unit", F.coalesce("_field", "_text"))
     )
-    value = F.when(F.isnan("valuenum"), F.lit(None)).otherwise(F.col("valuenum"))
-    return joined.select(
-        *[joined[f"`{c}`"] for c in base.columns],
+    told = F.when(F.col("_field").isNotNull(), "field").when(F.col("_text").isNotNull(), "text").when(F.col("_common").isNotNull(), "default").otherwise("none")
+    to = F.struct(
         F.coalesce("_unit.unit_code", "_common").alias("unit_code"),
-        F.when(F.col("_field").isNotNull(), "field").when(F.col("_text").isNotNull(), "text").when(F.col("_common").isNotNull(), "default").otherwise("none").alias("unit_from"),
+        told.alias("unit_from"),
         F.coalesce("_common", "_unit.common_code").alias("common_code"),
-        (value * F.coalesce("_unit.factor", F.lit(1.0))).alias("value_common"),
-        F.coalesce("_unit.is_common", F.lit(True)).alias("in_common_unit"),
+        F.coalesce("_unit.factor", F.lit(1.0)).alias("factor"),
+        F.coalesce("_unit.is_common", F.lit(True)).alias("is_common"),
     )
+    return joined.select(*[F.col(f"`{c}`") for c in rows.columns], to.alias("_to"))
