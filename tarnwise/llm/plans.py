@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_PARTS = ["split_queries", "pair_queries", "overlap_queries", "text_queries"]
+_PARTS = ["split_queries", "pair_queries", "overlap_queries", "text_queries", "response_queries"]
 
 QUERIES: dict = {}
 SQL: dict = {}
