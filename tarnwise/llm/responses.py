@@ -35,6 +35,8 @@ FUNCTION_WORDS = {
     "it": "il lo la i gli le di del della dei e è era stato stata un una in nel per con che non si al più ma sono tra da come dopo senza durante questo questa gli proseguire".split(),
 }
 _WORDS = {k: frozenset(v) for k, v in FUNCTION_WORDS.items()}
+#: Words that no sentence ends with.
+_JOINING = frozenset(w for v in _WORDS.values() for w in v) - frozenset("no not non nicht pas it this that here here? him her más plus mehr all".split())
 # Patterns of declining, in the languages above.
 SPEAKER = re.compile(r"\b(?:i|i'm|i’m|i'd|i've|i'll|me|my|myself|we|our|yo|je|ich|mir|eu|io)\b|\b(?:lo siento|désolé|es tut mir|desculpe|mi dispiace)\b", re.I)
 INABILITY = re.compile(
@@ -77,12 +79,27 @@ def content(text: str | None) -> str:
     """Text without mark-up, labels and invisible characters; empty when nothing is said."""
     if not text:
         return ""
-    x = _MARKUP.sub(" ", re.sub(r"[​-‏⁠﻿\x00-\x08\x0b-\x1f]", "", text))
+    x = re.sub(r"[\u200b-\u200f\u2060\ufeff\x00-\x08\x0b-\x1f]", "", text)
+    x = _MARKUP.sub(" ", _MARKUP.sub(" ", x).strip())
     return x.strip() if re.search(r"[^\W_]", x) else ""
 
 
 def clauses(text: str) -> list[str]:
-    return [c.strip() for c in _CLAUSE.split(text) if c.strip()]
+    return [c for c, _ in _parts(text)]
+
+
+def _parts(text: str) -> list[tuple[str, bool]]:
+    """Clauses, and whether each begins in the middle of a line."""
+    out, at = [], 0
+    inner = False
+    for m in [*_CLAUSE.finditer(text), None]:
+        c = text[at : m.start() if m else len(text)].strip()
+        if c:
+            out.append((c, inner))
+        if m:
+            inner = "\n" not in m.group(0)
+            at = m.end()
+    return out
 
 
 def language(tokens: list[str]) -> dict[str, float]:
@@ -98,7 +115,8 @@ def _last_word(text: str) -> str:
 
 def featurise(question: str, reference: str, text: str, ends: float, partial: float) -> tuple[list[str], np.ndarray]:
     """Clauses of a response and their feature rows. `ends`: how often the last word ends a text or clause elsewhere; `partial`: 1 if it is the beginning of a commoner word."""
-    parts = clauses(text)
+    split = _parts(text)
+    parts = [c for c, _ in split]
     q_tokens = [t.lower() for t in _TOKEN.findall(question or "")]
     q_pairs = set(zip(q_tokens, q_tokens[1:]))
     q_set = set(q_tokens)
@@ -125,19 +143,19 @@ def featurise(question: str, reference: str, text: str, ends: float, partial: fl
         spoken, unable = bool(SPEAKER.search(c)), bool(INABILITY.search(c))
         impersonal = bool(IMPERSONAL.search(c))
         function = lang[own] * n >= 1 or other * n >= 2
-        dangling = bool(re.search(r"[,;:(\-–]$|\b(?:and|the|of|with|for|to|a|an|in|or|by|y|und|et|e|de)$", c, re.I))
+        dangling = bool(re.search(r"[,;:(\-–]$", c)) or (bool(tokens) and tokens[-1] in _JOINING and c[-1:].isalpha())
         rows.append(
             [
                 1.0, spoken, unable, spoken and unable, impersonal, bool(COURTESY.match(c)), bool(OTHERS.search(c)) and not spoken,
                 back, back > 0.85, max(-0.3, min(0.3, margin)) * 3, margin > 0.08 and other * n >= 2, lang[own] > 0.1,
                 open_end, open_end and function, open_end and dangling, open_end and prefix, open_end and tail,
-                open_end and ends < 0.02, open_end and partial > 0, n <= 3, words == 0,
+                open_end and ends < 0.02, open_end and partial > 0, n <= 3, words == 0, open_end and split[i][1],
             ]
         )
     return parts, np.array(rows, dtype=float).reshape(len(parts), N_FEATURES)
 
 
-N_FEATURES = 21
+N_FEATURES = 22
 
 
 def training_set(sample: list[tuple[str, str]], ends: dict[str, tuple[float, float]], seed: int = 5) -> list[tuple[np.ndarray, list[int]]]:
@@ -166,7 +184,10 @@ def training_set(sample: list[tuple[str, str]], ends: dict[str, tuple[float, flo
             add(q, r, [(rnd.choice(_PLAIN).format(x=subject), "answer"), (rnd.choice(_PLAIN[:8]).format(x=subject) if rnd.random() < 0.4 else "", "answer")])
         elif kind < 0.5 and len(r) > 20:
             base = r if rnd.random() < 0.6 else " ".join(rnd.choice(_PLAIN[:10]).format(x=subject) for _ in range(2))
-            cut = base[: rnd.randint(8, len(base) - 4)].rstrip()
+            at = rnd.randint(8, len(base) - 4)
+            if rnd.random() < 0.3 and len(clauses(base)) > 1:  # just after a clause began
+                at = base.rindex(clauses(base)[-1]) + rnd.randint(2, 9)
+            cut = base[:at].rstrip()
             head = clauses(cut)
             if not _END.search(cut):
                 add(q, r, [(" ".join(head[:-1]), "answer"), (head[-1], "unfinished")])
