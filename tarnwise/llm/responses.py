@@ -24,6 +24,8 @@ from tarnwise.llm.crf import Crf
 TAGS = ["answer", "refusal", "echo", "foreign", "unfinished"]
 #: Rows the field is trained on; a documented bound, the same at every size.
 SAMPLE_ROWS = 1500
+#: Probability from which the last clause counts as unfinished.
+UNFINISHED = 0.35
 
 # Function words by language.
 FUNCTION_WORDS = {
@@ -230,7 +232,7 @@ def defect(parts: list[str], prob: np.ndarray, empty: bool) -> str | None:
         return "refusal"
     if cover["foreign"] >= 0.5:
         return "wrong_language"
-    if TAGS[best[-1]] == "unfinished":
+    if prob[-1, TAGS.index("unfinished")] >= UNFINISHED:
         return "truncated"
     return None
 
