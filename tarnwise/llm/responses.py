@@ -32,7 +32,7 @@ FUNCTION_WORDS = {
     "en": "the of and to in is was were be are on for with that this it at by from as an not which what after before here should has have had no or she he they his her their a does did who when than into".split(),
     "es": "el la los las de del y que en es fue un una por para con se no al lo su sin aunque conviene como más este esta hay entre cada durante ante pero son está sobre qué cuál era fueron ingresó".split(),
     "de": "der die das und ist war in den dem des ein eine einer mit von zu auf für nicht als wird wurde werden soll dass im am bei nach wegen es sind auch aber dennoch über hat keine kein gilt sollte weiter was welche man".split(),
-    "fr": "le la les de des du et est était un une dans en pour par avec que qui ne pas au aux ce cette sur plus mais il elle sans jusque pendant aucune été a l d n on sait dit séjour faut".split(),
+    "fr": "le la les de des du et est était un une dans en pour par avec que qui ne pas au aux ce cette sur plus mais il elle sans jusque pendant aucune été on sait dit séjour faut".split(),
     "pt": "o a os as de do da dos das e é foi um uma em no na nos nas por para com que não se ao mais até lá mas são está sem durante pelo pela tratado este esta sobre como".split(),
     "it": "il lo la i gli le di del della dei e è era stato stata un una in nel per con che non si al più ma sono tra da come dopo senza durante questo questa gli proseguire".split(),
 }
@@ -42,7 +42,7 @@ _JOINING = frozenset(w for v in _WORDS.values() for w in v) - frozenset("no not
 # Patterns of declining, in the languages above.
 SPEAKER = re.compile(r"\b(?:i|i'm|i’m|i'd|i've|i'll|me|my|myself|we|our|yo|je|ich|mir|eu|io)\b|\b(?:lo siento|désolé|es tut mir|desculpe|mi dispiace)\b", re.I)
 INABILITY = re.compile(
-    r"\b(?:can ?not|can['’]t|won['’]t|unable to|not able to|isn['’]t possible|is not possible|not possible|do not feel|don['’]t feel|not comfortable|would rather not|rather not|not be appropriate|inappropriate|must decline|have to decline|decline to|declined?|refuse|prevents?|outside (?:of )?what|not allowed|not permitted|may not (?:answer|discuss|provide)|beyond what|apologi[sz]e|couldn['’]t|not in a position|not qualified|not provide|refrain)\b"
+    r"\b(?:can ?not|can['’]t|won['’]t|unable to|not able to|isn['’]t possible|is not possible|not possible|do not feel|don['’]t feel|not comfortable|would rather not|rather not|not be appropriate|inappropriate|must decline|have to decline|decline to|declined?|refuse|prevents?|outside (?:of )?what|not allowed|not permitted|may not (?:answer|discuss|provide)|beyond what|apologi[sz]e|(?:asked|told|instructed|advised|trained|requested) not to|couldn['’]t|not in a position|not qualified|not provide|refrain)\b"
     r"|\bno puedo\b|\bno me es posible\b|\bne peux pas\b|\bne suis pas en mesure\b|\bkann (?:ich )?(?:\w+ )?nicht\b|\bkann leider\b|\bnão posso\b|\bnon posso\b",
     re.I,
 )
@@ -50,18 +50,18 @@ IMPERSONAL = re.compile(
     r"\brequest (?:declined|refused|denied)\b|\bas an? (?:ai|assistant|language model|automated)\b|\bmy (?:guidelines|policy|policies|instructions)\b|\bconsult (?:a|your) (?:qualified |licensed )?(?:clinician|doctor|physician|professional|care team)\b|\bwithout a clinician\b|\bmatter for your (?:care team|doctor|clinician)\b|\bmedical advice\b|\bnot be appropriate for me\b|\bwhat i (?:may|can|am able to) (?:discuss|answer|say)\b",
     re.I,
 )
-COURTESY = re.compile(r"^(?:thanks?|thank you|sorry|unfortunately|regrettably|is there (?:something|anything) else|please (?:ask|contact|consult|speak|see)|i hope|let me know)\b", re.I)
+COURTESY = re.compile(r"^(?:hello|apologies|ask (?:the|your)|thanks?|thank you|sorry|unfortunately|regrettably|is there (?:something|anything) else|please (?:ask|contact|consult|speak|see)|i hope|let me know)\b", re.I)
 OTHERS = re.compile(r"\b(?:patient|family|she|he|they|chart|record|sample|mother|father|wife|husband|nurse)\b", re.I)
 
 # Phrases the refusals of the training sequences are put together from.
-_OPEN = ["I'm sorry, but", "Sorry,", "Unfortunately", "Thank you for asking, but", "As an assistant,", "I apologise, but", "", "", ""]
+_OPEN = ["I'm sorry, but", "Regrettably,", "Apologies,", "To be clear,", "Hello.", "Sorry,", "Unfortunately", "Thank you for asking, but", "As an assistant,", "I apologise, but", "", "", ""]
 _CORE = [
     "I can't help with that request", "I cannot provide medical advice about a patient", "I am not able to answer clinical questions", "I'm unable to comment on {x}", "I won't be able to go into {x}",
     "it would not be appropriate for me to answer this", "it isn't possible for me to comment on {x}", "I do not feel comfortable answering this", "I must decline to interpret these records",
     "that is a matter for your care team, and I would rather not answer", "this is outside what I may discuss", "my guidelines prevent me from giving patient-specific information", "request declined: content concerns an identifiable patient",
-    "I can't assist with questions on {x}", "no puedo responder a esa pregunta", "je ne peux pas répondre à cette question", "ich kann diese Frage nicht beantworten", "não posso responder a essa pergunta", "non posso rispondere a questa domanda",
+    "I can't assist with questions on {x}", "I have been asked not to give advice on {x}", "I am not in a position to say which drug is right", "request declined", "request refused: the content concerns a patient", "no puedo responder a esa pregunta", "je ne peux pas répondre à cette question", "ich kann diese Frage nicht beantworten", "não posso responder a essa pergunta", "non posso rispondere a questa domanda",
 ]
-_CLOSE = ["Is there something else you need?", "Please consult a qualified clinician.", "Please ask your care team.", "", "", "", ""]
+_CLOSE = ["Ask the treating team.", "Is there something else you need?", "Please consult a qualified clinician.", "Please ask your care team.", "", "", "", ""]
 _THANKS = ["Thank you for asking about {x}.", "Thanks for the question.", "", "", ""]
 # Answers that look like refusals or foreign text and are neither.
 _PLAIN = [
@@ -148,7 +148,7 @@ def featurise(question: str, reference: str, text: str, ends: float, partial: fl
         dangling = bool(re.search(r"[,;:(\-–]$", c)) or (bool(tokens) and tokens[-1] in _JOINING and c[-1:].isalpha())
         rows.append(
             [
-                1.0, spoken, unable, spoken and unable, impersonal, bool(COURTESY.match(c)), bool(OTHERS.search(c)) and not spoken,
+                1.0, spoken, unable, spoken and unable, impersonal, bool(COURTESY.match(c)), bool(OTHERS.search(c)) and not spoken and not impersonal and margin <= 0,
                 back, back > 0.85, max(-0.3, min(0.3, margin)) * 3, margin > 0.08 and other * n >= 2, lang[own] > 0.1,
                 open_end, open_end and function, open_end and dangling, open_end and prefix, open_end and tail,
                 open_end and ends < 0.02, open_end and partial > 0, n <= 3, words == 0, open_end and split[i][1],
