@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,6 +30,18 @@ def session(master: str = "local[*]", app: str = "tarnwise", **conf: str) -> Spa
     return builder.getOrCreate()
 
 
+def share_package(spark: SparkSession) -> None:
+    """Let Python workers import this package from where the driver has it.
+
+    On a cluster without that path, ship the package with --py-files instead; this then does no harm.
+    """
+    env = spark.sparkContext.environment
+    root = str(Path(__file__).resolve().parents[1])
+    known = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in known:
+        env["PYTHONPATH"] = os.pathsep.join([root, *known])
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder: `spark.checkpoint.dir`, or a temporary one where that is unset.
 
