@@ -20,7 +20,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,7 +39,7 @@ UNIT_LIMITS = {
 #: Rows of a series above which it is cut into blocks, and blocks into eighths.
 BLOCK_ROWS = 4096
 #: Lags looked at for the distribution of run lengths.
-RUN_LAGS = 9
+RUN_LAGS = 7
 
 
 @dataclass(frozen=True)
@@ -89,14 +89,15 @@ def bad_readings(readings: DataFrame, tuning: Tuning = Tuning()) -> DataFrame:
         F.log(F.greatest(F.col("value"), F.coalesce(F.col("floor"), F.lit(1e-6)))).alias("x"),
         F.col("_soft").alias("soft"),
     )
-    keys = ["source", "item", "entity", "block"]
-    blocks = _in_blocks(alive).repartition(*[F.col(k) for k in keys])
+    # The hash comes first in every sort, so rows are ordered by their eight-byte prefix; the keys behind it keep series apart.
+    keys = ["k", "item", "entity", "block"]
+    blocks = _in_blocks(alive).withColumn("k", F.xxhash64("source", "item", "entity", "block")).repartition("k")
     scales = broadcast_if_small(_item_scales(blocks, keys, tuning))
     scaled = blocks.join(scales, ["source", "item"], "left").select(
-        *keys, "row_id", "t", "soft", "own", (F.col("x") / F.col("r")).alias("x"), F.col("q").cast("float").alias("q"), F.col("run_limit").cast("int").alias("run_limit")
+        *keys, "source", "row_id", "t", "soft", "own", (F.col("x") / F.col("r")).alias("x"), "q", F.col("run_limit").cast("double").alias("run_limit")
     )
     ordered = scaled.sortWithinPartitions(*keys, "t", "x", "row_id")
-    found = ordered.mapInPandas(_filter_partition(tuning), "source string, row_id long, reason string")
+    found = ordered.mapInArrow(_filter_partition(tuning), "source string, row_id long, reason string")
     return hard.unionByName(found)
 
 
@@ -150,9 +151,8 @@ def _in_blocks(alive: DataFrame) -> DataFrame:
 
 def _item_scales(blocks: DataFrame, keys: list[str], tuning: Tuning) -> DataFrame:
     """Per item: noise scale r, drift variance q (in units of r squared) and the run length that is no longer credible."""
-    w = Window.partitionBy(*keys).orderBy("t", "x", "row_id")
-    steps = blocks.select("source", "item", "x", *keys[2:], "t", "row_id")
-    steps = steps.select(
+    w = Window.partitionBy("k").orderBy("item", "entity", "block", "t", "x", "row_id")
+    steps = blocks.select(
         "source", "item", "x", "t",
         *[F.lag("x", k).over(w).alias(f"x{k}") for k in range(1, RUN_LAGS + 1)],
         F.lag("t", 1).over(w).alias("t1"), F.lag("t", 2).over(w).alias("t2"), F.lead("x", 1).over(w).alias("next"),
@@ -212,60 +212,60 @@ def _one_way(x: np.ndarray, first: np.ndarray, last: np.ndarray, q: np.ndarray,
     return inn, level_at, var_at
 
 
-def _judge(pdf: pd.DataFrame, start: np.ndarray, tuning: Tuning) -> pd.DataFrame:
-    """Bad rows of whole series; `start` marks the first row of each."""
-    x, t = pdf["x"].to_numpy(float), pdf["t"].to_numpy()
+def _judge(x: np.ndarray, t: np.ndarray, soft: np.ndarray, q: np.ndarray, run_limit: np.ndarray, start: np.ndarray, tuning: Tuning) -> tuple[np.ndarray, np.ndarray]:
+    """Spikes and stuck rows of whole series; `start` marks the first row of each."""
     group = np.cumsum(start) - 1
     fresh = start.copy()
     fresh[1:] |= (t[1:] != t[:-1]) | (x[1:] != x[:-1])
     to = np.cumsum(fresh) - 1
     u, ug = x[fresh], group[fresh]
-    soft = pdf["soft"].to_numpy(bool)[fresh]
     heads = np.flatnonzero(np.r_[True, ug[1:] != ug[:-1]])
     ends = np.r_[heads[1:] - 1, len(u) - 1]
-    q = pdf["q"].to_numpy(float)[fresh][heads]
-    fi, fl, fv = _one_way(u, heads, ends, q, 1, tuning.spike_z)
-    bi, bl, bv = _one_way(u, heads, ends, q, -1, tuning.spike_z)
+    drift = q[fresh][heads]
+    fi, fl, fv = _one_way(u, heads, ends, drift, 1, tuning.spike_z)
+    bi, bl, bv = _one_way(u, heads, ends, drift, -1, tuning.spike_z)
     with np.errstate(invalid="ignore"):
         spike = (np.abs(fi) > tuning.spike_z) & (np.abs(bi) > tuning.spike_z) & (fi * bi > 0) & (np.abs(fl - bl) < tuning.level_z * np.sqrt(fv + bv + 1))
     # A reading out of the item's range is bad unless its series keeps to such values.
     size = ends - heads + 1
-    outside = np.add.reduceat(soft, heads)
-    spike |= soft & ((size > 1) & (outside * 2 <= size))[ug - ug[0]]
+    odd = soft[fresh]
+    outside = np.add.reduceat(odd.astype(np.int64), heads)
+    spike |= odd & ((size > 1) & (outside * 2 <= size))[ug - ug[0]]
     change = np.r_[True, (u[1:] != u[:-1]) | (ug[1:] != ug[:-1])]
     run = np.cumsum(change) - 1
-    length = np.bincount(run)[run]
-    stuck = length >= pdf["run_limit"].to_numpy(float)[fresh]
-    bad = (spike | stuck)[to] & pdf["own"].to_numpy(bool)
-    out = pdf.loc[bad, ["source", "row_id"]].copy()
-    out["reason"] = np.where(stuck[to][bad], "stuck", "spike")
-    return out
+    stuck = np.bincount(run)[run] >= run_limit[fresh]
+    return spike[to], stuck[to]
 
 
 def _filter_partition(tuning: Tuning):
-    """mapInPandas function over partitions sorted by series and time."""
+    """mapInArrow function over partitions sorted by series and time; a series is held until its last row is seen."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[pd.DataFrame] = []
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
         rows = 0
 
-        def work(last: bool) -> Iterator[pd.DataFrame]:
+        def work(last: bool) -> Iterator[pa.RecordBatch]:
             nonlocal held, rows
-            pdf = pd.concat(held, ignore_index=True) if len(held) > 1 else held[0].reset_index(drop=True)
-            key = [pdf[c].to_numpy() for c in ("source", "item", "entity", "block")]
-            start = np.zeros(len(pdf), bool)
+            table = pa.Table.from_batches(held).combine_chunks()
+            col = lambda c: table.column(c).to_numpy()
+            start = np.zeros(table.num_rows, bool)
             start[0] = True
-            for k in key:
-                start[1:] |= k[1:] != k[:-1]
-            cut = len(pdf) if last else int(np.flatnonzero(start)[-1])
-            held, rows = ([], 0) if cut == len(pdf) else ([pdf.iloc[cut:]], len(pdf) - cut)
+            for c in ("k", "item", "entity", "block"):
+                v = col(c)
+                start[1:] |= v[1:] != v[:-1]
+            cut = table.num_rows if last else int(np.flatnonzero(start)[-1])
+            held, rows = ([], 0) if cut == table.num_rows else (table.slice(cut).to_batches(), table.num_rows - cut)
             if cut:
-                yield _judge(pdf.iloc[:cut], start[:cut], tuning)
-
-        for pdf in batches:
-            if len(pdf):
-                held.append(pdf)
-                rows += len(pdf)
+                spike, stuck = _judge(*[col(c)[:cut] for c in ("x", "t", "soft", "q", "run_limit")], start[:cut], tuning)
+                bad = np.flatnonzero((spike | stuck) & col("own")[:cut])
+                picked = table.take(pa.array(bad))
+                reason = pa.array(np.where(stuck[bad], "stuck", "spike").astype(object), pa.string())
+                yield from pa.table({"source": picked.column("source"), "row_id": picked.column("row_id"), "reason": reason}).to_batches()
+
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+                rows += batch.num_rows
                 if rows >= 60_000:
                     yield from work(False)
         if held:
