@@ -31,14 +31,23 @@ def fit_budget(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarr
     free = counts - take
     # Whole documents, the most plentiful lengths first, until the programme's table is small.
     small = 4 * int(lengths.max()) if int(lengths.max()) < 50_000 else int(lengths.max())
-    for i in np.argsort(-free * lengths):
+    for i in np.argsort(-free * lengths, kind="stable"):
         if rest <= small:
             break
         more = min(int(free[i]), (rest - small) // int(lengths[i]) + 1, rest // int(lengths[i]))
         take[i] += more
         free[i] -= more
         rest -= more * int(lengths[i])
-    # reach[j] = index of the item that first reached sum j, with its number of copies.
+    # The programme needs room: copies already taken are given back, the most plentiful lengths first.
+    room = min(budget, 3 * int(lengths.max()))
+    for i in np.argsort(-take, kind="stable"):
+        if rest >= room:
+            break
+        less = min(int(take[i]), -(-(room - rest) // int(lengths[i])))
+        take[i] -= less
+        free[i] += less
+        rest += less * int(lengths[i])
+    # item[j], copies[j]: the step that first reached sum j, and its size.
     item, copies = np.full(rest + 1, -1, dtype=np.int64), np.zeros(rest + 1, dtype=np.int64)
     reached = np.zeros(rest + 1, bool)
     reached[0] = True
@@ -103,6 +112,7 @@ def mix(sizes: DataFrame, targets: DataFrame, total: int | None = None, seed: in
     per_source = spark.createDataFrame(plan[["source", "whole", "rest"]].astype({"source": str, "whole": "int64", "rest": "int64"}), "source string, whole long, rest long")
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("n_tokens")  # the choice must not depend on the order rows arrive in
         quota = fit_budget(pdf["n_tokens"].to_numpy(), pdf["c"].to_numpy(), int(pdf["rest"].iloc[0]))
         return pd.DataFrame({"source": pdf["source"], "n_tokens": pdf["n_tokens"], "quota": quota, "whole": pdf["whole"]})
 

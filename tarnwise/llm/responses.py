@@ -178,7 +178,8 @@ def training_set(sample: list[tuple[str, str]], ends: dict[str, tuple[float, flo
             out.append((x, [TAGS.index(m) for m in marks]))
 
     for q, r, lang in spoken:
-        subject = rnd.choice(_TOKEN.findall(r) or ["it"])
+        named = [t for t in _TOKEN.findall(r) if len(t) > 4 and t[0].isalpha() and not any(t.lower() in w for w in _WORDS.values())]
+        subject = rnd.choice(named or ["fever"])
         kind = rnd.random()
         if kind < 0.2:
             add(q, r, [(r, "answer")])
