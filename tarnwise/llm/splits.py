@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -77,8 +75,7 @@ def assign(grouped: DataFrame, targets: DataFrame, seed: int = 7) -> DataFrame:
     """(group_key, split_name) by grouped iterative stratification.
 
     Each group's labels are summed to a vector; groups are placed by their rarest
-    outstanding label, larger ones first, into the split that still needs that label
-    most, by its share. Groups of more than a thousandth of all records are placed one
+    outstanding label, larger ones first, into the split that still needs it most. Groups of more than a thousandth of all records are placed one
     by one on the driver (fewer than a thousand of them); the rest are small and are
     placed within hash shards on the executors, each shard filling its part of what the
     large groups left, so neither side holds more than its shard.
@@ -119,20 +116,35 @@ def assign(grouped: DataFrame, targets: DataFrame, seed: int = 7) -> DataFrame:
     return head.unionByName(tail)
 
 
-def _place(rows: list, want: list[dict], room: list[float]) -> Iterator[tuple[str, int]]:
-    """Greedy placement; `want` (per split and label) and `room` (per split) are used up in place."""
-    rarity: dict[str, float] = {}
-    for _, _, v in rows:
-        for k, n in v.items():
-            rarity[k] = rarity.get(k, 0) + n
-    rank = {k: i for i, k in enumerate(sorted(rarity, key=lambda k: (rarity[k], k)))}
-    ordered = sorted(rows, key=lambda r: (min((rank[k] for k in r[2]), default=0), -r[1], r[0]))
+def _place(rows: list, want: list[dict], room: list[float]) -> list[tuple[str, int]]:
+    """Greedy placement; `want` (per split and label) and `room` (per split) are used up in place.
+
+    The label with the fewest outstanding records comes next; its groups go, larger ones
+    first, to the split with the largest part of its need for that label and of its room
+    still open, so that shares hold for labels and for all records.
+    """
+    whole, space = [dict(w) for w in want], list(room)
+    outstanding: dict[str, float] = {}
+    holders: dict[str, list] = {}
+    for row in rows:
+        for k, n in row[2].items():
+            outstanding[k] = outstanding.get(k, 0) + n
+            holders.setdefault(k, []).append(row)
+    open_part = lambda left, of: left / of if of > 0 else -1.0
+    done: dict[str, int] = {}
     out = []
-    for g, n, v in ordered:
-        key = min(v, key=lambda k: rank[k]) if v else None
-        best = max(range(len(want)), key=lambda i: (want[i].get(key, 0.0), room[i], -i))
-        for k, c in v.items():
-            want[best][k] = want[best].get(k, 0.0) - c
-        room[best] -= n
-        out.append((g, best))
+    while outstanding:
+        key = min(outstanding, key=lambda k: (outstanding[k], k))
+        for g, n, v in sorted(holders[key], key=lambda r: (-r[1], r[0])):
+            if g in done:
+                continue
+            best = max(range(len(want)), key=lambda i: (open_part(want[i].get(key, 0.0), whole[i].get(key, 0.0)) + open_part(room[i], space[i]), -i))
+            for k, c in v.items():
+                want[best][k] = want[best].get(k, 0.0) - c
+                if k in outstanding:
+                    outstanding[k] -= c
+            room[best] -= n
+            done[g] = best
+            out.append((g, best))
+        del outstanding[key]
     return out
