@@ -55,7 +55,8 @@ def ingest_csv(spark: SparkSession, path: str, out: str, schema: T.StructType, c
     Malformed rows go to `<out>_bad` rather than vanish.
     """
     bad = "_malformed"
-    raw = spark.read.csv(
+    # Without pruning every column is parsed, so a row is malformed whatever columns are kept.
+    raw = spark.read.option("columnPruning", "false").csv(
         path,
         schema=T.StructType([*schema.fields, T.StructField(bad, T.StringType())]),
         header=True,
@@ -65,7 +66,6 @@ def ingest_csv(spark: SparkSession, path: str, out: str, schema: T.StructType, c
     )
     keep = list(columns) if columns is not None else [f.name for f in schema.fields]
     marked = raw.withColumn("_is_bad", F.col(bad).isNotNull())
-    # The corrupt column may not be selected alone from a CSV scan, so both outputs are written from full rows.
     marked.filter(~F.col("_is_bad")).select(*keep).write.mode("overwrite").option("compression", "zstd").parquet(out)
     marked.filter(F.col("_is_bad")).drop("_is_bad").write.mode("overwrite").parquet(f"{out}_bad")
     return {"rows": spark.read.parquet(out).count(), "malformed": spark.read.parquet(f"{out}_bad").count()}
