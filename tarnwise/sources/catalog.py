@@ -55,19 +55,22 @@ def ingest_csv(spark: SparkSession, path: str, out: str, schema: T.StructType, c
     Malformed rows go to `<out>_bad` rather than vanish.
     """
     bad = "_malformed"
-    # Without pruning every column is parsed, so a row is malformed whatever columns are kept.
-    raw = spark.read.option("columnPruning", "false").csv(
+    raw = spark.read.csv(
         path,
         schema=T.StructType([*schema.fields, T.StructField(bad, T.StringType())]),
         header=True,
         mode="PERMISSIVE",
         columnNameOfCorruptRecord=bad,
-        multiLine=False,
     )
     keep = list(columns) if columns is not None else [f.name for f in schema.fields]
-    marked = raw.withColumn("_is_bad", F.col(bad).isNotNull())
-    marked.filter(~F.col("_is_bad")).select(*keep).write.mode("overwrite").option("compression", "zstd").parquet(out)
-    marked.filter(F.col("_is_bad")).drop("_is_bad").write.mode("overwrite").parquet(f"{out}_bad")
+    # A CSV scan finds only malformed values of columns it is asked for, so all columns are parsed once, and split after.
+    stage = f"{out}_stage"
+    raw.write.mode("overwrite").parquet(stage)
+    parsed = spark.read.parquet(stage)
+    parsed.filter(F.col(bad).isNull()).select(*keep).write.mode("overwrite").option("compression", "zstd").parquet(out)
+    parsed.filter(F.col(bad).isNotNull()).write.mode("overwrite").parquet(f"{out}_bad")
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(stage)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
     return {"rows": spark.read.parquet(out).count(), "malformed": spark.read.parquet(f"{out}_bad").count()}
 
 
