@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tarnwise.session import cut_lineage
+
 # Abbreviations (regular expression on folded text, replacement).
 ABBREVIATIONS = [
     (r"\by/o\b|\byo\b|\byrs?/o\b", "year old"),
@@ -152,7 +154,8 @@ def find_overlaps(evals: DataFrame, trains: DataFrame) -> DataFrame:
     input row is dropped; pairs come out once.
     """
     records = evals.select(F.lit("e").alias("side"), "id", "a", "b").unionByName(trains.select(F.lit("t").alias("side"), "id", "a", "b"))
-    rows = canonical(records).filter(F.length(F.regexp_replace("sorted_text", r"[ |]", "")) > 0).withColumn("cls", F.xxhash64("sorted_text", F.lit(1)))
+    # Written once: the classes, both sides of every join and the representatives all start from here.
+    rows = cut_lineage(canonical(records).filter(F.length(F.regexp_replace("sorted_text", r"[ |]", "")) > 0).withColumn("cls", F.xxhash64("sorted_text", F.lit(1))))
     e = rows.filter("side = 'e'").select(F.col("id").alias("eval_id"), F.col("cls").alias("ecls"), F.col("sorted_text").alias("es"))
     t = rows.filter("side = 't'").select(F.col("id").alias("train_id"), F.col("cls").alias("tcls"), F.col("sorted_text").alias("ts"))
     same = e.join(t, (F.col("ecls") == F.col("tcls")) & (F.col("es") == F.col("ts"))).select("eval_id", "train_id")
