@@ -43,7 +43,7 @@ def disease_baskets(diagnoses: DataFrame, seeds: DataFrame) -> DataFrame:
     seeds = seeds.select("name", F.explode(F.array(F.struct(F.lit(9).alias("v"), F.col("icd9_prefix").alias("p")), F.struct(F.lit(10).alias("v"), F.col("icd10_prefix").alias("p")))).alias("s"))
     seeds = broadcast_if_small(seeds.select("name", F.col("s.v").alias("v"), F.upper(F.trim("s.p")).alias("p")).filter(F.length("p") > 0))
     rows = diagnoses.select("hadm_id", F.col("icd_version").alias("v"), code.alias("code")).filter(F.col("hadm_id").isNotNull() & (F.length("code") > 0)).distinct()
-    rows = rows.withColumn("p", F.explode(F.expr("transform(sequence(1, least(length(code), 12)), i -> substring(code, 1, i))")))
+    rows = rows.withColumn("p", F.explode(F.expr("transform(sequence(1, least(length(code), 64)), i -> substring(code, 1, i))")))
     return rows.join(seeds, ["v", "p"]).select(F.col("hadm_id").alias("basket"), F.col("name").alias("item"))
 
 

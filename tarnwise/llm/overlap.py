@@ -38,7 +38,7 @@ ABBREVIATIONS = [
 LEADS = ["q", "question", "eval", "please tell me", "answer", "a", "according to the record", "per the chart", "from the chart", "based on the record", "in short"]
 TAILS = ["see notes", "source chart", "end of answer", "per the chart", "see chart"]
 UNITS = r"(?:[a-zµμ]+/[a-zµμ]+|%|mg|mcg|g|sec|ml|units?)"
-WORD = r"^\p{L}{5,}$"
+WORD = r"^\p{L}{5,64}$"
 
 #: Edits allowed between canonical texts of one pair.
 EDITS = 3

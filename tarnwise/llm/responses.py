@@ -247,7 +247,7 @@ def last_words(rows: DataFrame) -> DataFrame:
     tokens = rows.select(F.split(F.concat(marked, F.lit(" | ")), r"\s+").alias("w"))
     pairs = tokens.select(F.explode(F.expr("transform(sequence(0, greatest(size(w) - 2, 0)), i -> named_struct('word', w[i], 'end', if(w[i + 1] = '|', 1, 0)))")).alias("p"))
     counts = pairs.select("p.word", "p.end").filter(F.col("word").rlike(r"^\p{L}+$")).groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.sum("end").alias("e"))
-    starts = counts.filter(F.length("word") > 1).select(F.explode(F.expr("transform(sequence(1, length(word) - 1), i -> substring(word, 1, i))")).alias("word"), F.col("n").alias("m"))
+    starts = counts.filter(F.length("word").between(2, 64)).select(F.explode(F.expr("transform(sequence(1, length(word) - 1), i -> substring(word, 1, i))")).alias("word"), F.col("n").alias("m"))
     longer = starts.groupBy("word").agg(F.sum("m").alias("m"))
     return counts.join(longer, "word", "left").select("word", (F.col("e") / F.col("n")).alias("ends"), (F.coalesce("m", F.lit(0)) > 20 * F.col("n")).cast("double").alias("partial"))
 
