@@ -7,13 +7,17 @@ from which the figures are computed on the driver with bounded memory.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows up to which a paired matrix is resampled as it is; above, by Poisson weights in Spark.
-MATRIX_ROWS = 200_000
+from tarnwise.session import cut_lineage
+
+#: Rows of a paired matrix whose weights a task holds at once; each takes 8 bytes a draw.
+WEIGHT_ROWS = 256
 
 
 def confusion(df: DataFrame, truth: str, guess: str) -> dict[str, int]:
@@ -102,24 +106,33 @@ def paired(df: DataFrame, key: str, system: str, metric: str, systems: list[str]
 def bootstrap_intervals(wide: DataFrame, systems: list[str], draws: int = 10_000, seed: int = 1) -> list[dict]:
     """Mean and 95 percent interval of each system, all systems resampled by the same draws.
 
-    Up to MATRIX_ROWS rows the matrix is drawn as it is; beyond, each row gets a Poisson
-    weight a draw in Spark, for 200 draws, and only the weighted sums come back.
+    Each row has a Poisson(1) weight a draw, from a generator keyed by a hash of the
+    row's other columns, so draws do not depend on partitions. Tasks sum their rows by
+    matrix products; one row a draw comes back, whatever the number of rows.
     """
-    if wide.count() <= MATRIX_ROWS:
-        m = wide.select(*systems).toPandas().to_numpy(float)
-        if not len(m):
-            return []
-        rng, means = np.random.default_rng(seed), []
-        for _ in range(draws):
-            means.append(m[rng.integers(0, len(m), len(m))].mean(0))
-        means = np.array(means)
-    else:
-        rows = wide.select(*systems).withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(199))))
-        u = F.rand(seed)
-        weight = sum(((u > sum(math.exp(-1) / math.factorial(j) for j in range(k + 1))).cast("int") for k in range(8)), F.lit(0))
-        sums = rows.withColumn("_w", weight).groupBy("_i").agg(*[(F.sum(F.col(s) * F.col("_w")) / F.sum("_w")).alias(s) for s in systems]).toPandas()
-        means = sums[systems].to_numpy(float)
-    centre = wide.agg(*[F.avg(s).alias(s) for s in systems]).first()
+    spark = wide.sparkSession
+    keys = [c for c in wide.columns if c not in systems]
+    rows = cut_lineage(wide.select(F.xxhash64(*keys, F.lit(seed)).alias("_k"), *[F.col(s).cast("double").alias(s) for s in systems]))
+    n = rows.count()
+    if not n:
+        return []
+    parts = min(math.ceil(n / 1000), 4 * spark.sparkContext.defaultParallelism)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros((draws, len(systems) + 1))
+        for pdf in batches:
+            for at in range(0, len(pdf), WEIGHT_ROWS):
+                part = pdf.iloc[at : at + WEIGHT_ROWS]
+                w = np.stack([np.random.Generator(np.random.Philox(key=int(k) % 2**64)).poisson(1.0, draws) for k in part["_k"]]).astype(float)
+                total += w.T @ np.column_stack([part[systems].to_numpy(float), np.ones(len(part))])
+        yield pd.DataFrame({"_i": np.arange(draws), **{f"_{j}": total[:, j] for j in range(len(systems) + 1)}})
+
+    cols = [f"_{j}" for j in range(len(systems) + 1)]
+    sums = rows.repartition(parts, "_k").mapInPandas(run, "_i long, " + ", ".join(f"{c} double" for c in cols))
+    sums = sums.groupBy("_i").agg(*[F.sum(c).alias(c) for c in cols]).toPandas()[cols].to_numpy(float)
+    sums = sums[sums[:, -1] > 0]  # a draw of no row has no mean
+    means = sums[:, :-1] / sums[:, -1:]
+    centre = rows.agg(*[F.avg(s).alias(s) for s in systems]).first()
     return [{"system": s, "mean": centre[s], "low": float(np.quantile(means[:, i], 0.025)), "high": float(np.quantile(means[:, i], 0.975))} for i, s in enumerate(systems)]
 
 

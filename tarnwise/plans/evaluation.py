@@ -212,7 +212,7 @@ def not_applicable(s: SparkSession, d: str) -> DataFrame:
 def bootstrap_ci(s: SparkSession, d: str) -> DataFrame:
     """Paired bootstrap intervals of BLEU."""
     systems = ["T", "T+E", "T+E+K"]
-    rows = stats.bootstrap_intervals(stats.paired(T(s, d, _R), "q_idx", "system", "bleu", systems), systems, draws=2000)
+    rows = stats.bootstrap_intervals(stats.paired(T(s, d, _R), "q_idx", "system", "bleu", systems), systems)
     return s.createDataFrame([(r["system"], r["mean"], r["low"], r["high"]) for r in rows], "system string, mean double, low double, high double")
 
 

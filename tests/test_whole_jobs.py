@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from tarnwise.operators import vectors
+from tarnwise.operators import stats, vectors
 
 
 def test_ivf_recall_where_sixteen_lists_are_few(spark):
@@ -11,3 +11,16 @@ def test_ivf_recall_where_sixteen_lists_are_few(spark):
     base = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<float>")
     q = base.filter("vec_id % 50 = 0").toDF("q_id", "q")
     assert vectors.recall(vectors.knn_ivf(q, base), vectors.knn_exact(q, base)) >= 0.9
+
+
+def test_bootstrap_has_one_method_for_all_sizes(spark):
+    wide = spark.range(0, 205_000).selectExpr("id as q", "cast(id % 7 as double) as a", "cast(id % 7 as double) + 1 as b")
+    seen = []
+    for rows in (wide.limit(3000).coalesce(1), wide.limit(3000).repartition(5)):
+        seen.append([round(r[x], 9) for r in stats.bootstrap_intervals(rows, ["a", "b"], draws=300) for x in ("low", "high")])
+    assert seen[0] == seen[1]
+    # Above the former bound of 200,000 rows, `draws` still rules: one draw leaves no width.
+    assert all(r["low"] == r["high"] for r in stats.bootstrap_intervals(wide, ["a", "b"], draws=1))
+    x = np.random.default_rng(2).normal(size=1500)
+    r = stats.bootstrap_intervals(spark.createDataFrame([(i, float(v)) for i, v in enumerate(x)], "q long, a double"), ["a"])[0]
+    assert abs(r["high"] - r["low"] - 2 * 1.96 * x.std() / 1500**0.5) < 0.004
