@@ -3,11 +3,11 @@
 Texts are brought to a canonical writing: case, white space, punctuation,
 abbreviations, set phrases and the order of listed items are taken out, and tokens
 that are one slip away from a far more frequent token are put right by corpus counts.
-Records of equal canonical text form one class. Classes that still hold a doubtful
-token are compared by an edit-distance segment join: one side is cut into k + 1
-segments, substrings of the other at allowed positions are matched, and candidates
-are verified by banded dynamic programming. Numbers, and words the corpus knows, are
-facts and must agree.
+Records of equal canonical text form one class. All classes of equal numbers are
+compared by an edit-distance segment join: one side is cut into k + 1 segments,
+substrings of the other at allowed positions are matched, and candidates are verified
+by banded dynamic programming. Numbers, their units and words the corpus knows are
+facts and must agree; a word may only stand for another that it is a slip of.
 """
 
 from __future__ import annotations
@@ -42,6 +42,10 @@ WORD = r"^\p{L}{5,64}$"
 
 #: Edits allowed between canonical texts of one pair.
 EDITS = 3
+#: Times that a word must be commoner than its slip, by distinct texts.
+RATIO = 8
+#: Distinct texts up to which a word of five letters or more may be a slip of any other.
+RARE = 4
 
 
 def fold_tokens(text: Column) -> Column:
@@ -66,11 +70,12 @@ def bound(text: Column) -> Column:
     return F.regexp_replace(text, r"(?:(\S+) )?\b(\d+(?:\.\d+)?)(?: (" + UNITS + r"))?(?= |$)", "$1_$2_$3")
 
 
-def corrections(tokens: DataFrame, ratio: int = 8) -> DataFrame:
+def corrections(tokens: DataFrame, ratio: int = RATIO) -> DataFrame:
     """(token, right): rare words one slip (insertion, deletion, exchange, swap) from a word at least `ratio` times as frequent.
 
     `tokens`: token, n. Words share a slip exactly when they share a form with one
-    letter dropped, so the join is an equi-join.
+    letter dropped, so the join is an equi-join. A word near two commoner ones, slips
+    apart, may be a slip of either and is left as it is.
     """
     words = tokens.filter(F.col("token").rlike(WORD))
     drop = F.expr("array_distinct(concat(array(token), transform(sequence(1, length(token)), i -> concat(substring(token, 1, i - 1), substring(token, i + 1)))))")
@@ -78,27 +83,28 @@ def corrections(tokens: DataFrame, ratio: int = 8) -> DataFrame:
     a, b = forms.select(F.col("token").alias("token"), F.col("n").alias("n"), "form"), forms.select(F.col("token").alias("right"), F.col("n").alias("m"), "form")
     near = F.levenshtein("token", "right")
     swapped = (near == 2) & (F.array_sort(F.split("token", "")) == F.array_sort(F.split("right", "")))
-    pairs = a.join(b, "form").filter((F.col("m") >= ratio * F.col("n")) & ((near == 1) | swapped))
-    return pairs.groupBy("token").agg(F.max_by("right", F.struct("m", "right")).alias("right"))
+    pairs = a.join(b, "form").filter((F.col("m") > F.col("n")) & ((near == 1) | swapped)).select("token", "n", "right", "m").distinct()
+    slips = pairs.filter(F.col("m") >= ratio * F.col("n")).select(F.col("token").alias("right")).distinct()
+    one = pairs.join(slips, "right", "left_anti").groupBy("token").agg(F.max("right").alias("right"), F.max(F.col("m") / F.col("n")).alias("times"), F.count(F.lit(1)).alias("_n"))
+    return one.filter((F.col("_n") == 1) & (F.col("times") >= ratio)).select("token", "right")
 
 
-def canonical(records: DataFrame) -> DataFrame:
-    """`records` (side, id, a, b) with `text` in order, `sorted_text` in canonical item order, `facts` and `doubtful` words."""
-    rows = records.select("side", "id", fold_tokens(F.col("a")).alias("ta"), fold_tokens(F.col("b")).alias("tb"))
+def folded(records: DataFrame) -> DataFrame:
+    """`records` (side, id, a, b) with the tokens of both texts as `ta` and `tb`."""
+    return records.select("side", "id", fold_tokens(F.col("a")).alias("ta"), fold_tokens(F.col("b")).alias("tb"))
+
+
+def word_counts(rows: DataFrame) -> DataFrame:
+    """(token, n): distinct texts of `rows` (side, id, ta, tb) that hold each word, copies counted once."""
+    words = rows.select("ta", "tb").distinct().select(F.explode(F.array_distinct(F.concat("ta", "tb"))).alias("token"))
+    return words.filter(F.col("token").rlike(r"^\p{L}+$")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+
+
+def canonical(rows: DataFrame, counts: DataFrame) -> DataFrame:
+    """`rows` (side, id, ta, tb) with `text` in order, `sorted_text` in canonical item order and `facts`."""
     spread = rows.select("side", "id", F.explode(F.array_distinct(F.concat("ta", "tb"))).alias("token")).filter(F.col("token").rlike(WORD))
-    counts = spread.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
-    fixes = corrections(counts)
-    known = counts.join(fixes, "token", "left")
-    # Only rows that hold a rare word need anything from the counts.
-    rare = known.filter((F.col("n") <= 4) | F.col("right").isNotNull()).select("token", "right")
-    marks = (
-        spread.join(rare, "token")
-        .groupBy("side", "id")
-        .agg(
-            F.map_from_entries(F.collect_list(F.when(F.col("right").isNotNull(), F.struct("token", "right")))).alias("fix"),
-            F.array_sort(F.collect_list(F.when(F.col("right").isNull(), F.col("token")))).alias("doubtful"),
-        )
-    )
+    # Only rows that hold a slip need anything from the counts.
+    marks = spread.join(corrections(counts), "token").groupBy("side", "id").agg(F.map_from_entries(F.collect_list(F.struct("token", "right"))).alias("fix"))
     joined = rows.join(marks, ["side", "id"], "left")
 
     def put_right(c: str) -> Column:
@@ -106,13 +112,12 @@ def canonical(records: DataFrame) -> DataFrame:
         return F.when(F.col("fix").isNull(), F.col(c)).otherwise(fixed)
 
     text = joined.select(
-        "side", "id", F.coalesce("doubtful", F.array().cast("array<string>")).alias("doubtful"),
-        expand(F.array_join(put_right("ta"), " ")).alias("qa"), expand(F.array_join(put_right("tb"), " ")).alias("qb"),
+        "side", "id", expand(F.array_join(put_right("ta"), " ")).alias("qa"), expand(F.array_join(put_right("tb"), " ")).alias("qb"),
     )
     both = F.concat_ws(" | ", "qa", "qb")
     in_order = lambda c: F.array_join(F.array_sort(F.split(bound(F.col(c)), " ")), " ")
     return text.select(
-        "side", "id", "doubtful", both.alias("text"), F.concat_ws(" | ", in_order("qa"), in_order("qb")).alias("sorted_text"),
+        "side", "id", both.alias("text"), F.concat_ws(" | ", in_order("qa"), in_order("qb")).alias("sorted_text"),
         F.array_join(F.array_sort(F.regexp_extract_all(both, F.lit(r"(?<!\S)(\d+(?:\.\d+)?)(?!\S)"), 1)), " ").alias("facts"),
     )
 
@@ -123,13 +128,12 @@ def segment_join(cut: DataFrame, slide: DataFrame, k: int = EDITS) -> DataFrame:
     `cut` and `slide`: id, facts, s. Strings of `cut` are cut into k + 1 segments; one of
     them must stand unchanged in any string within k edits, shifted by no more than the
     edits before it and after it allow. Substrings of `slide` at those places are matched
-    by an equi-join on the facts, the length, the segment's number and its text.
+    by an equi-join on a hash of the facts, the length, the segment's number and its text;
+    the strings themselves are fetched for candidates only.
     """
     m = k + 1
-    seg = F.expr(f"transform(sequence(0, {k}), i -> named_struct('i', i, 'seg', substring(s, cast(i * length(s) div {m} as int) + 1, cast((i + 1) * length(s) div {m} - i * length(s) div {m} as int))))")
-    left = cut.select(F.col("id").alias("cut_id"), "facts", F.col("s").alias("cs"), F.length("s").alias("len"), F.explode(seg).alias("p")).select(
-        "cut_id", "cs", "facts", "len", F.col("p.i").alias("i"), F.xxhash64("p.seg").alias("h")
-    )
+    bits = lambda c: f"transform(sequence(0, {k}), i -> xxhash64(facts, length({c}), i, substring({c}, cast(i * length({c}) div {m} as int) + 1, cast((i + 1) * length({c}) div {m} - i * length({c}) div {m} as int))))"
+    left = cut.select(F.col("id").alias("cut_id"), F.explode(F.expr(bits("s"))).alias("h"))
     lens = slide.select(F.col("id").alias("slide_id"), "facts", F.col("s").alias("ss"), F.explode(F.expr(f"sequence(greatest(0, length(s) - {k}), length(s) + {k})")).alias("len"))
     parts = lens.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(k))))
     at, size, delta = f"cast(i * len div {m} as int)", f"cast((i + 1) * len div {m} - i * len div {m} as int)", "(length(ss) - len)"
@@ -138,46 +142,77 @@ def segment_join(cut: DataFrame, slide: DataFrame, k: int = EDITS) -> DataFrame:
     right = (
         parts.withColumn("_low", F.expr(low)).withColumn("_high", F.expr(high)).filter("_high >= _low")
         .withColumn("pos", F.explode(F.sequence("_low", "_high")))
-        .select("slide_id", "ss", "facts", "len", "i", F.xxhash64(F.expr(f"substring(ss, pos + 1, {size})")).alias("h"))
+        .select("slide_id", F.xxhash64("facts", "len", "i", F.expr(f"substring(ss, pos + 1, {size})")).alias("h"))
     )
-    candidates = left.join(right, ["facts", "len", "i", "h"]).select("cut_id", "slide_id", "cs", "ss").dropDuplicates(["cut_id", "slide_id"])
-    near = F.levenshtein("cs", "ss", k)
+    pairs = left.join(right, "h").select("cut_id", "slide_id").distinct()
+    strings = lambda df, p: df.select(F.col("id").alias(f"{p}_id"), F.col("facts").alias(f"{p}_facts"), F.col("s").alias(f"{p}_s"))
+    candidates = pairs.join(strings(cut, "cut"), "cut_id").join(strings(slide, "slide"), "slide_id").filter("cut_facts = slide_facts")
+    near = F.levenshtein("cut_s", "slide_s", k)
     return candidates.filter(near.between(0, k)).select("cut_id", "slide_id")
 
 
+def same_but_slips(pairs: DataFrame, counts: DataFrame) -> DataFrame:
+    """Those `pairs` (e, t, es, ts; the texts in canonical item order) whose texts differ in slips only, as (e, t).
+
+    Items, numbers bound to them included, are compared with the times they occur. Each
+    that the other text lacks must face one of the same half, number and unit whose word
+    is a slip of its own, or the other way round: one at least RATIO times as common by
+    distinct texts (`counts`: token, n), or a rare one of five letters or more. Units
+    are no slips, and words of four letters or fewer are slips one edit or swap away only.
+    """
+    spread = lambda c: f"flatten(transform(split({c}, ' \\\\| '), (p, h) -> transform(split(p, ' '), w -> concat(h, ' ', w))))"
+    numbered = lambda c: F.expr(f"transform({c}, (x, i) -> concat(x, ' ', size(filter(slice({c}, 1, i + 1), y -> y = x))))")
+    x = pairs.select("e", "t", F.expr(spread("es")).alias("_e"), F.expr(spread("ts")).alias("_t")).select("e", "t", numbered("_e").alias("_e"), numbered("_t").alias("_t"))
+    x = x.select("e", "t", F.array_except("_e", "_t").alias("x"), F.array_except("_t", "_e").alias("y")).filter(F.size("x") == F.size("y"))
+    x = x.filter(F.size("x").between(1, EDITS)).withColumn("size", F.size("x"))
+    part = lambda c: F.split(c, " ")
+    faced = x.withColumn("x", F.explode("x")).withColumn("y", F.explode("y")).withColumn("xi", part("x")[1]).withColumn("yi", part("y")[1])
+    faced = faced.withColumn("u", F.substring_index("xi", "_", 1)).withColumn("v", F.substring_index("yi", "_", 1))
+    faced = faced.filter((part("x")[0] == part("y")[0]) & (F.expr("substring(xi, length(u) + 1) = substring(yi, length(v) + 1)")) & (F.col("u") != F.col("v")))
+    known = counts.select(F.col("token").alias("u"), F.col("n").alias("nu")), counts.select(F.col("token").alias("v"), F.col("n").alias("nv"))
+    faced = faced.join(known[0], "u", "left").join(known[1], "v", "left")
+    # Words that stand for abbreviations only are not counted, but known.
+    nu, nv = F.coalesce("nu", F.lit(RARE + 1)), F.coalesce("nv", F.lit(RARE + 1))
+    rarer, commoner = F.least(nu, nv), F.greatest(nu, nv)
+    edits = F.levenshtein("u", "v")
+    one = (edits == 1) | ((edits == 2) & (F.length("u") == F.length("v")) & (F.array_sort(F.split("u", "")) == F.array_sort(F.split("v", ""))))
+    words = F.col("u").rlike(r"^\p{L}+$") & F.col("v").rlike(r"^\p{L}+$") & ~F.col("u").rlike(f"^{UNITS}$") & ~F.col("v").rlike(f"^{UNITS}$")
+    # Two words of one length and two letters or fewer share too little to be one.
+    short = F.greatest(F.length("u"), F.length("v")) < 3
+    by_ratio = (commoner >= RATIO * rarer) & one & ~(short & (edits == 1))
+    slip = F.when(nu <= nv, F.length("u")).otherwise(F.length("v"))
+    faced = faced.filter(words & (by_ratio | ((rarer <= RARE) & (slip >= 5))))
+    met = faced.groupBy("e", "t").agg(F.first("size").alias("size"), F.countDistinct("x").alias("nx"), F.countDistinct("y").alias("ny"))
+    return met.filter("nx = size and ny = size").select("e", "t")
+
+
 def find_overlaps(evals: DataFrame, trains: DataFrame) -> DataFrame:
     """Every pair (eval_id, train_id) of rows that agree up to writing.
 
     Inputs: id, a, b (for instance question and answer). Nulls count as empty; two
     records without any token are no pair. Rows of equal canonical text are one class;
-    the segment join runs between classes, and its links are expanded to rows last. No
-    input row is dropped; pairs come out once.
+    the segment join runs between all classes, and its links are expanded to rows last.
+    No input row is dropped; pairs come out once.
     """
     records = evals.select(F.lit("e").alias("side"), "id", "a", "b").unionByName(trains.select(F.lit("t").alias("side"), "id", "a", "b"))
+    tokens = folded(records)
+    counts = cut_lineage(word_counts(tokens))
     # Written once: the classes, both sides of every join and the representatives all start from here.
-    rows = cut_lineage(canonical(records).filter(F.length(F.regexp_replace("sorted_text", r"[ |]", "")) > 0).withColumn("cls", F.xxhash64("sorted_text", F.lit(1))))
+    rows = cut_lineage(canonical(tokens, counts).filter(F.length(F.regexp_replace("sorted_text", r"[ |]", "")) > 0).withColumn("cls", F.xxhash64("sorted_text", F.lit(1))))
     e = rows.filter("side = 'e'").select(F.col("id").alias("eval_id"), F.col("cls").alias("ecls"), F.col("sorted_text").alias("es"))
     t = rows.filter("side = 't'").select(F.col("id").alias("train_id"), F.col("cls").alias("tcls"), F.col("sorted_text").alias("ts"))
     same = e.join(t, (F.col("ecls") == F.col("tcls")) & (F.col("es") == F.col("ts"))).select("eval_id", "train_id")
 
-    # Class representatives: texts within few edits share their facts, and differ only in doubtful words.
-    reps = rows.groupBy("side", "cls").agg(F.min_by(F.struct("text", "sorted_text", "facts", "doubtful"), "id").alias("r")).select("side", F.col("cls").alias("id"), "r.*")
+    reps = rows.groupBy("side", "cls").agg(F.min_by(F.struct("text", "sorted_text", "facts"), "id").alias("r")).select("side", F.col("cls").alias("id"), "r.*")
+    # Texts whose numbers no text of the other side has can have no partner.
+    both = reps.groupBy("facts").agg(F.countDistinct("side").alias("_n")).filter("_n = 2").select("facts")
+    reps = cut_lineage(reps.join(both, "facts", "left_semi"))
+    ereps, treps = reps.filter("side = 'e'"), reps.filter("side = 't'")
     links = None
-    for cut_side, slide_side in (("e", "t"), ("t", "e")):
-        for s in ("text", "sorted_text"):
-            cut = reps.filter(F.col("side") == cut_side).select("id", "facts", F.col(s).alias("s"))
-            slide = reps.filter((F.col("side") == slide_side) & (F.size("doubtful") > 0)).select("id", "facts", F.col(s).alias("s"))
-            pairs = segment_join(cut, slide).toDF("c", "d")
-            pairs = pairs.select(F.col("c").alias("ecls"), F.col("d").alias("tcls")) if cut_side == "e" else pairs.select(F.col("d").alias("ecls"), F.col("c").alias("tcls"))
-            links = pairs if links is None else links.unionByName(pairs)
-    words = lambda side, p: reps.filter(F.col("side") == side).select(F.col("id").alias(f"{p}cls"), F.split(F.translate("sorted_text", "_|", "  "), r"\s+").alias(f"{p}w"), F.col("doubtful").alias(f"{p}d"))
-    checked = (
-        links.filter("ecls <> tcls").distinct().join(words("e", "e"), "ecls").join(words("t", "t"), "tcls")
-        .withColumn("x", F.array_except("ew", "tw")).withColumn("y", F.array_except("tw", "ew"))
-        .withColumn("dx", F.size(F.array_intersect("x", "ed"))).withColumn("dy", F.size(F.array_intersect("y", "td")))
-        # A known word may only be replaced by a doubtful one of the other text.
-        .filter((F.size("x") - F.col("dx") <= F.col("dy")) & (F.size("y") - F.col("dy") <= F.col("dx")))
-        .select("ecls", "tcls")
-    )
-    near = e.join(checked, "ecls").join(t, "tcls").select("eval_id", "train_id")
+    for s in ("text", "sorted_text"):
+        pairs = segment_join(ereps.select("id", "facts", F.col(s).alias("s")), treps.select("id", "facts", F.col(s).alias("s"))).toDF("e", "t")
+        links = pairs if links is None else links.unionByName(pairs)
+    links = links.filter("e <> t").distinct()
+    checked = same_but_slips(links.join(ereps.select(F.col("id").alias("e"), F.col("sorted_text").alias("es")), "e").join(treps.select(F.col("id").alias("t"), F.col("sorted_text").alias("ts")), "t"), counts)
+    near = e.join(checked.toDF("ecls", "tcls"), "ecls").join(t, "tcls").select("eval_id", "train_id")
     return same.unionByName(near).distinct()

@@ -1,0 +1,22 @@
+"""Jobs of the training-data operators that once were cut: each test failed before the cut was taken out."""
+
+from tarnwise.llm import overlap as O
+
+SCHEMA = "id long, a string, b string"
+
+
+def _pairs(spark, evals, trains):
+    return {(r["eval_id"], r["train_id"]) for r in O.find_overlaps(spark.createDataFrame(evals, SCHEMA), spark.createDataFrame(trains, SCHEMA)).collect()}
+
+
+def test_slips_in_short_words_and_in_copied_rows(spark):
+    text = "The iron level was {} when the nurse came, and teslinine was given."
+    base = [(i, "What was given?", text.format(i)) for i in range(20)]
+    slips = [(100, "What was given?", text.format(3).replace("when", "whne")), (101, "What was given?", text.format(4).replace("iron", "irn"))]
+    # A slip in a rare word that stands in more rows than four, all of one text.
+    rare = [(50, "Which drug?", "Vinzolinine of old.")]
+    copies = [(200 + i, "Which drug?", "Vinzolnine of old.") for i in range(9)]
+    facts = [(300, "What was given?", text.format(5).replace("iron", "zinc")), (301, "What was given?", "The iron level was 7 mg when the nurse came, and teslinine was given.")]
+    facts += [(302, "Dose?", "Iron 5 mg, zinc 6 mg."), (303, "Dose?", "Iron 5 mcg, zinc 6 mcg.")]
+    got = _pairs(spark, base + rare + [(60, "Dose?", "Iron 6 mg, zinc 5 mg.")], slips + copies + facts)
+    assert got == {(3, 100), (4, 101)} | {(50, 200 + i) for i in range(9)}
