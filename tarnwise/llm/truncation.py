@@ -6,6 +6,8 @@ of the corpus: units that begin the same way and nearly always close are prose,
 open one is cut; the others are closing lines and list entries, and one of those is cut
 when it is a strict prefix of longer ones elsewhere and hardly ever stands whole. The
 prefix self-join is an equi-join of each open value with the prefixes of all of them.
+An open text that a longer text goes on within the line is cut too. All of this is
+counted over distinct texts, and each verdict holds for every copy.
 """
 
 from __future__ import annotations
@@ -56,9 +58,11 @@ def find_cut(docs: DataFrame, text: str = "text", least: int = 10, prose: float
     seen at all is prose when it has five words or more, and so is an open unit that
     follows a sentence in its line. `evidence` is `prose` (open unit
     that begins like closed ones), `broken` (ends in a comma, an opening mark or a
-    replacement character) or `prefix` (strict prefix of longer closing lines).
+    replacement character) or `prefix` (strict prefix of longer closing lines, or of a
+    longer text).
     """
-    units = units_of(docs, text)
+    texts = docs.select(strip_padding(F.col(text)).alias("text")).filter(F.length("text") > 0).distinct().select(F.md5("text").alias("doc_id"), F.lit("").alias("source"), "text")
+    units = units_of(texts)
     h2, h1 = _heads(F.col("mask"))
     units = units.withColumn("h2", h2).withColumn("h1", h1)
     two = units.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n2"), F.sum(F.col("closed").cast("long")).alias("c2"))
@@ -93,7 +97,26 @@ def find_cut(docs: DataFrame, text: str = "text", least: int = 10, prose: float
     longer = prefixes.groupBy("value").agg(F.sum("whole").alias("longer"))
     ends = stated.filter("last").select("doc_id", "source", F.element_at("values", -1).alias("value"))
     cut = ends.join(counts, "value").join(longer, "value").filter(F.col("longer") > ratio * (F.col("whole") - 1)).select("doc_id", "source", F.lit("prefix").alias("evidence"))
-    return sure.unionByName(cut)
+    starts_other = _continued(texts.join(fields.filter("last").select("doc_id"), "doc_id", "left_semi"), texts).withColumn("evidence", F.lit("prefix"))
+    found = sure.unionByName(cut).select("doc_id", "evidence").unionByName(starts_other).groupBy(F.col("doc_id").alias("_k")).agg(F.first("evidence").alias("evidence"))
+    return docs.select("doc_id", "source", F.md5(strip_padding(F.col(text))).alias("_k")).join(found, "_k").select("doc_id", "source", "evidence")
+
+
+def _continued(some: DataFrame, texts: DataFrame) -> DataFrame:
+    """doc_id of those of `some` (doc_id, text) that a longer one of `texts` begins with and goes on from within the line and list entry.
+
+    An equi-join on the beginnings of lengths 1, 2, 3, 4, 5, 6, 8, 10 and so on, by a
+    third of an octave: a text meets those that share its longest such beginning, and
+    these are compared in full.
+    """
+    lengths = F.expr("filter(array_distinct(transform(sequence(0, 3 * cast(log2(length(text)) as int) + 3), i -> cast(floor(pow(2, i / 3.0D)) as int))), p -> p <= length(text))")
+    head = lambda n: F.xxhash64(n, F.substring(F.col("text"), F.lit(1), n))
+    a = some.withColumn("_n", F.array_max(lengths)).select(F.col("doc_id").alias("a"), F.col("text").alias("short"), head(F.col("_n")).alias("h"))
+    b = texts.withColumn("_n", F.explode(lengths)).select(F.col("doc_id").alias("b"), head(F.col("_n")).alias("h"), F.length("text").alias("chars"))
+    met = a.join(b, "h").filter(F.col("chars") > F.length("short")).select("a", "short", "b")
+    rest = F.expr("substring(text, length(short) + 1)")
+    on = F.startswith(F.col("text"), F.col("short")) & ~rest.rlike(r"^[^\S\r\n]*[\r\n\x{85}\x{2028}\x{2029},;]")
+    return met.join(texts.select(F.col("doc_id").alias("b"), "text"), "b").filter(on).select(F.col("a").alias("doc_id")).distinct()
 
 
 def rates(docs: DataFrame, cut: DataFrame, text: str = "text") -> DataFrame:

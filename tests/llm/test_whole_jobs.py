@@ -1,6 +1,7 @@
 """Jobs of the training-data operators that once were cut: each test failed before the cut was taken out."""
 
 from tarnwise.llm import overlap as O
+from tarnwise.llm import truncation as T
 
 SCHEMA = "id long, a string, b string"
 
@@ -20,3 +21,18 @@ def test_slips_in_short_words_and_in_copied_rows(spark):
     facts += [(302, "Dose?", "Iron 5 mg, zinc 6 mg."), (303, "Dose?", "Iron 5 mcg, zinc 6 mcg.")]
     got = _pairs(spark, base + rare + [(60, "Dose?", "Iron 6 mg, zinc 5 mg.")], slips + copies + facts)
     assert got == {(3, 100), (4, 101)} | {(50, 200 + i) for i in range(9)}
+
+
+def _cut(spark, texts):
+    return {r["doc_id"] for r in T.find_cut(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").selectExpr("*", "'s' as source")).collect()}
+
+
+def test_copies_of_a_cut_text_do_not_make_it_whole(spark):
+    whole = [f"The patient {v} on day {i}.\nThe heart is fine on film {i}." for i, v in enumerate(["slept well", "ate little"] * 15)]
+    assert _cut(spark, whole + ["Seen today.\nThe heart size is normal"] * 60) == set(range(30, 90))
+
+
+def test_cut_text_that_a_longer_one_goes_on_from(spark):
+    lines = [f"Seen on day {i}.\nDiet: low salt" for i in range(40)]
+    longer = ["Seen by all.\nDiet: low salt and soft food", "Seen by us.\nDiet: low salt\nWeight: same"]
+    assert _cut(spark, lines + longer + ["Seen by all.\nDiet: low salt and", "Seen by us.\nDiet: low salt", "Seen by all.\nDiet: low salt"]) == {42, 44}
