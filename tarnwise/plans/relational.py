@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tarnwise.operators import relational as R
@@ -27,6 +27,12 @@ def admissions_of(s: SparkSession, d: str) -> DataFrame:
     return T(s, d, "orders").filter("o_custkey = 7").select("o_orderkey", "o_orderdate", "o_orderstatus").orderBy(F.col("o_orderdate").asc_nulls_last(), "o_orderkey")
 
 
+def admissions_of_each(s: SparkSession, d: str) -> DataFrame:
+    """Orders of every customer, each customer's in order of date."""
+    x = T(s, d, "orders").filter("o_custkey is not null").select("o_custkey", "o_orderkey", "o_orderdate", "o_orderstatus")
+    return x.orderBy("o_custkey", F.col("o_orderdate").asc_nulls_last(), "o_orderkey")
+
+
 def lab_lookup(s: SparkSession, d: str) -> DataFrame:
     """Labs with their dictionary name, newest three of each admission and item."""
     labs = R.dictionary_join(T(s, d, "labs").filter("hadm_id is not null"), T(s, d, "d_labitems"), ["itemid"], "itemid", "label", "name")
@@ -144,6 +150,12 @@ def distinct_order_limit(s: SparkSession, d: str) -> DataFrame:
     return T(s, d, "labs").filter("itemid = 51101 and length(trim(label)) > 0").select("label").distinct().orderBy("label").limit(25)
 
 
+def distinct_order_limit_each(s: SparkSession, d: str) -> DataFrame:
+    """The first 25 distinct spellings of every item's label in order."""
+    x = T(s, d, "labs").filter("itemid is not null and length(trim(label)) > 0").select("itemid", "label").distinct()
+    return x.withColumn("rn", F.row_number().over(Window.partitionBy("itemid").orderBy("label"))).filter("rn <= 25")
+
+
 def null_counts(s: SparkSession, d: str) -> DataFrame:
     """Nulls of each column of the results, one row a column."""
     x = T(s, d, "per_question_results")
@@ -153,8 +165,8 @@ def null_counts(s: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    entity_ids, demographics, admissions_of, lab_lookup, recent_labs, dict_left_join_2key, notes_newest, id_filter, prefix_cohort, prefix_cohort_versioned, failed_rows_dropped, matched_set,
-    left_join_predicate_on, star_left_join, fanout_preagg, first_type_merge, refreshed, anti_join, anti_join_one_per_entity, split_leakage, union_all, distinct_order_limit, null_counts,
+    entity_ids, demographics, admissions_of, admissions_of_each, lab_lookup, recent_labs, dict_left_join_2key, notes_newest, id_filter, prefix_cohort, prefix_cohort_versioned, failed_rows_dropped, matched_set,
+    left_join_predicate_on, star_left_join, fanout_preagg, first_type_merge, refreshed, anti_join, anti_join_one_per_entity, split_leakage, union_all, distinct_order_limit, distinct_order_limit_each, null_counts,
 )}
 
 SQL = {

@@ -59,8 +59,12 @@ def knn_ivf(s: SparkSession, d: str) -> DataFrame:
 
 
 def text_embedding(s: SparkSession, d: str) -> DataFrame:
-    """Hashed unit vectors of the seed diseases' names."""
-    return vectors.embed_text(T(s, d, "seed_diseases"), "name", "name", 64).select("name", F.round(vectors.dot(F.col("embedding"), F.col("embedding")), 4).alias("norm"))
+    """Hashed unit vectors of all documents, questions of both sets and seed diseases' names; empty and null texts have norm 0."""
+    out = None
+    for kind, name, key, text in (("document", "documents", "doc_id", "text"), ("eval", "ehrqa_eval", "qa_id", "question"), ("finetune", "ehrqa_finetune", "qa_id", "question"), ("disease", "seed_diseases", "name", "name")):
+        e = vectors.embed_text(T(s, d, name), key, text, 64).select(F.lit(kind).alias("kind"), F.col(key).cast("string").alias("key"), "embedding", F.round(vectors.dot(F.col("embedding"), F.col("embedding")), 4).alias("norm"))
+        out = e if out is None else out.unionByName(e)
+    return out
 
 
 QUERIES = {f.__name__: f for f in (graph_stats, graph_one_hop, graph_facts, node_match, knn_exact_topk, knn_label_filtered, knn_ivf, text_embedding)}
