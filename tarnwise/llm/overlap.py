@@ -191,7 +191,7 @@ def find_overlaps(evals: DataFrame, trains: DataFrame) -> DataFrame:
 
     Inputs: id, a, b (for instance question and answer). Nulls count as empty; two
     records without any token are no pair. Rows of equal canonical text are one class;
-    the segment join runs between all classes, and its links are expanded to rows last.
+    the segment join runs between all writings of all classes, and its links are expanded to rows last.
     No input row is dropped; pairs come out once.
     """
     records = evals.select(F.lit("e").alias("side"), "id", "a", "b").unionByName(trains.select(F.lit("t").alias("side"), "id", "a", "b"))
@@ -203,7 +203,8 @@ def find_overlaps(evals: DataFrame, trains: DataFrame) -> DataFrame:
     t = rows.filter("side = 't'").select(F.col("id").alias("train_id"), F.col("cls").alias("tcls"), F.col("sorted_text").alias("ts"))
     same = e.join(t, (F.col("ecls") == F.col("tcls")) & (F.col("es") == F.col("ts"))).select("eval_id", "train_id")
 
-    reps = rows.groupBy("side", "cls").agg(F.min_by(F.struct("text", "sorted_text", "facts"), "id").alias("r")).select("side", F.col("cls").alias("id"), "r.*")
+    # Every writing of a class, since a slip may stand in an item order that only one member has.
+    reps = rows.select("side", "cls", "text", "sorted_text", "facts").distinct().withColumn("id", F.xxhash64("sorted_text", "text"))
     # Texts whose numbers no text of the other side has can have no partner.
     both = reps.groupBy("facts").agg(F.countDistinct("side").alias("_n")).filter("_n = 2").select("facts")
     reps = cut_lineage(reps.join(both, "facts", "left_semi"))
@@ -213,6 +214,7 @@ def find_overlaps(evals: DataFrame, trains: DataFrame) -> DataFrame:
         pairs = segment_join(ereps.select("id", "facts", F.col(s).alias("s")), treps.select("id", "facts", F.col(s).alias("s"))).toDF("e", "t")
         links = pairs if links is None else links.unionByName(pairs)
     links = links.filter("e <> t").distinct()
-    checked = same_but_slips(links.join(ereps.select(F.col("id").alias("e"), F.col("sorted_text").alias("es")), "e").join(treps.select(F.col("id").alias("t"), F.col("sorted_text").alias("ts")), "t"), counts)
-    near = e.join(checked.toDF("ecls", "tcls"), "ecls").join(t, "tcls").select("eval_id", "train_id")
+    named = lambda df, p: df.select(F.col("id").alias(p), F.col("cls").alias(f"{p}cls"), F.col("sorted_text").alias(f"{p}s"))
+    links = links.join(named(ereps, "e"), "e").join(named(treps, "t"), "t").filter("es <> ts").select(F.col("ecls").alias("e"), F.col("tcls").alias("t"), "es", "ts").distinct()
+    near = e.join(same_but_slips(links, counts).toDF("ecls", "tcls"), "ecls").join(t, "tcls").select("eval_id", "train_id")
     return same.unionByName(near).distinct()

@@ -23,6 +23,11 @@ def test_slips_in_short_words_and_in_copied_rows(spark):
     assert got == {(3, 100), (4, 101)} | {(50, 200 + i) for i in range(9)}
 
 
+def test_slip_that_moves_an_item_of_a_class_with_two_orders(spark):
+    evals = [(1, "Which drugs?", "Corproazole 5 mg, vinzolinine 40 mg."), (2, "Which drugs?", "Vinzolinine 40 mg, corproazole 5 mg.")]
+    assert _pairs(spark, evals, [(9, "Which drugs?", "Vinzolinine 40 mg, zorproazole 5 mg.")]) == {(1, 9), (2, 9)}
+
+
 def _cut(spark, texts):
     return {r["doc_id"] for r in T.find_cut(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").selectExpr("*", "'s' as source")).collect()}
 
