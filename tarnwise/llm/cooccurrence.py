@@ -37,13 +37,14 @@ def pair_counts(left: DataFrame, right: DataFrame, baskets: DataFrame) -> DataFr
 def disease_baskets(diagnoses: DataFrame, seeds: DataFrame) -> DataFrame:
     """(basket, item): admissions and the seed diseases one of their codes starts with, by the code's own version.
 
-    The prefixes of a code are exploded, so the match is an equi-join whatever the length of the seeds' prefixes.
+    The prefixes of a code, up to the length of the longest seed prefix, are exploded, so the match is an equi-join.
     """
     code = F.upper(F.regexp_replace(F.replace("icd_code", F.lit("."), F.lit("")), r"^\s+|\s+$", ""))
     seeds = seeds.select("name", F.explode(F.array(F.struct(F.lit(9).alias("v"), F.col("icd9_prefix").alias("p")), F.struct(F.lit(10).alias("v"), F.col("icd10_prefix").alias("p")))).alias("s"))
     seeds = broadcast_if_small(seeds.select("name", F.col("s.v").alias("v"), F.upper(F.trim("s.p")).alias("p")).filter(F.length("p") > 0))
     rows = diagnoses.select("hadm_id", F.col("icd_version").alias("v"), code.alias("code")).filter(F.col("hadm_id").isNotNull() & (F.length("code") > 0)).distinct()
-    rows = rows.withColumn("p", F.explode(F.expr("transform(sequence(1, least(length(code), 64)), i -> substring(code, 1, i))")))
+    longest = seeds.agg(F.max(F.length("p"))).first()[0] or 1
+    rows = rows.withColumn("p", F.explode(F.expr(f"transform(sequence(1, least(length(code), {longest})), i -> substring(code, 1, i))")))
     return rows.join(seeds, ["v", "p"]).select(F.col("hadm_id").alias("basket"), F.col("name").alias("item"))
 
 

@@ -1,5 +1,6 @@
 """Jobs of the training-data operators that once were cut: each test failed before the cut was taken out."""
 
+from tarnwise.llm import cooccurrence
 from tarnwise.llm import overlap as O
 from tarnwise.llm import truncation as T
 
@@ -41,3 +42,10 @@ def test_cut_text_that_a_longer_one_goes_on_from(spark):
     lines = [f"Seen on day {i}.\nDiet: low salt" for i in range(40)]
     longer = ["Seen by all.\nDiet: low salt and soft food", "Seen by us.\nDiet: low salt\nWeight: same"]
     assert _cut(spark, lines + longer + ["Seen by all.\nDiet: low salt and", "Seen by us.\nDiet: low salt", "Seen by all.\nDiet: low salt"]) == {42, 44}
+
+
+def test_seed_prefixes_of_any_length(spark):
+    dx = spark.createDataFrame([(1, "A" * 70 + "5", 10), (2, "A" * 69, 10), (3, "25000", 9)], "hadm_id long, icd_code string, icd_version int")
+    seeds = spark.createDataFrame([("long", "250", "A" * 70)], "name string, icd9_prefix string, icd10_prefix string")
+    assert {r["basket"] for r in cooccurrence.disease_baskets(dx, seeds).collect()} == {1, 3}
+    assert cooccurrence.disease_baskets(dx, seeds.limit(0)).count() == 0
