@@ -1,13 +1,12 @@
 """Records of one split that stand, alike or nearly so, in another.
 
-Texts are brought to a canonical writing: case, white space, punctuation,
-abbreviations, set phrases and the order of listed items are taken out, and tokens
-that are one slip away from a far more frequent token are put right by corpus counts.
-Records of equal canonical text form one class. All classes of equal numbers are
-compared by an edit-distance segment join: one side is cut into k + 1 segments,
-substrings of the other at allowed positions are matched, and candidates are verified
-by banded dynamic programming. Numbers, their units and words the corpus knows are
-facts and must agree; a word may only stand for another that it is a slip of.
+Texts are brought to a canonical writing: case, white space, punctuation, abbreviations
+and set phrases are taken out. All pairs come from an edit-distance segment join of these
+writings, in order and with their items sorted: evaluation strings are cut into k + 1
+segments, training substrings at allowed positions are matched, and candidates are
+verified by banded dynamic programming. What is within k edits is then judged item by
+item: numbers, their units and words the corpus knows are facts and must agree, and a
+word may only stand for another that it is a slip of.
 """
 
 from __future__ import annotations
@@ -21,7 +20,7 @@ from tarnwise.session import cut_lineage
 ABBREVIATIONS = [
     (r"\by/o\b|\byo\b|\byrs?/o\b", "year old"),
     (r"\bw/", "with "),
-    (r"\b(?<!vitamin )d (?=\d)", "day "),
+    (r"\bday (?=\d)", "d "),
     (r"\bdx\b", "diagnosis"),
     (r"\badm\b", "admitted"),
     (r"\bcont\b", "continue"),
@@ -38,19 +37,16 @@ ABBREVIATIONS = [
 LEADS = ["q", "question", "eval", "please tell me", "answer", "a", "according to the record", "per the chart", "from the chart", "based on the record", "in short"]
 TAILS = ["see notes", "source chart", "end of answer", "per the chart", "see chart"]
 UNITS = r"(?:[a-zµμ]+/[a-zµμ]+|%|mg|mcg|g|sec|ml|units?)"
-WORD = r"^\p{L}{5,64}$"
 
 #: Edits allowed between canonical texts of one pair.
-EDITS = 3
-#: Times that a word must be commoner than its slip, by distinct texts.
-RATIO = 8
-#: Distinct texts up to which a word of five letters or more may be a slip of any other.
-RARE = 4
+EDITS = 6
+#: Times that a word must be commoner than its slip, by distinct texts; and those that are enough for a word of five letters or more.
+RATIO, LONG_RATIO = 8, 2
 
 
 def fold_tokens(text: Column) -> Column:
     """Lower-case word, number and unit tokens of a text; null gives an empty array."""
-    x = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[ -   ]+", " ")
+    x = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+", " ")
     x = F.regexp_replace(x, r"[‐-―−]", "-")
     return F.regexp_extract_all(x, F.lit(r"(\d+(?:\.\d+)?|[\p{L}\p{M}%/]+)"), 1)
 
@@ -70,25 +66,6 @@ def bound(text: Column) -> Column:
     return F.regexp_replace(text, r"(?:(\S+) )?\b(\d+(?:\.\d+)?)(?: (" + UNITS + r"))?(?= |$)", "$1_$2_$3")
 
 
-def corrections(tokens: DataFrame, ratio: int = RATIO) -> DataFrame:
-    """(token, right): rare words one slip (insertion, deletion, exchange, swap) from a word at least `ratio` times as frequent.
-
-    `tokens`: token, n. Words share a slip exactly when they share a form with one
-    letter dropped, so the join is an equi-join. A word near two commoner ones, slips
-    apart, may be a slip of either and is left as it is.
-    """
-    words = tokens.filter(F.col("token").rlike(WORD))
-    drop = F.expr("array_distinct(concat(array(token), transform(sequence(1, length(token)), i -> concat(substring(token, 1, i - 1), substring(token, i + 1)))))")
-    forms = words.withColumn("form", F.explode(drop))
-    a, b = forms.select(F.col("token").alias("token"), F.col("n").alias("n"), "form"), forms.select(F.col("token").alias("right"), F.col("n").alias("m"), "form")
-    near = F.levenshtein("token", "right")
-    swapped = (near == 2) & (F.array_sort(F.split("token", "")) == F.array_sort(F.split("right", "")))
-    pairs = a.join(b, "form").filter((F.col("m") > F.col("n")) & ((near == 1) | swapped)).select("token", "n", "right", "m").distinct()
-    slips = pairs.filter(F.col("m") >= ratio * F.col("n")).select(F.col("token").alias("right")).distinct()
-    one = pairs.join(slips, "right", "left_anti").groupBy("token").agg(F.max("right").alias("right"), F.max(F.col("m") / F.col("n")).alias("times"), F.count(F.lit(1)).alias("_n"))
-    return one.filter((F.col("_n") == 1) & (F.col("times") >= ratio)).select("token", "right")
-
-
 def folded(records: DataFrame) -> DataFrame:
     """`records` (side, id, a, b) with the tokens of both texts as `ta` and `tb`."""
     return records.select("side", "id", fold_tokens(F.col("a")).alias("ta"), fold_tokens(F.col("b")).alias("tb"))
@@ -100,25 +77,15 @@ def word_counts(rows: DataFrame) -> DataFrame:
     return words.filter(F.col("token").rlike(r"^\p{L}+$")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
 
 
-def canonical(rows: DataFrame, counts: DataFrame) -> DataFrame:
-    """`rows` (side, id, ta, tb) with `text` in order, `sorted_text` in canonical item order and `facts`."""
-    spread = rows.select("side", "id", F.explode(F.array_distinct(F.concat("ta", "tb"))).alias("token")).filter(F.col("token").rlike(WORD))
-    # Only rows that hold a slip need anything from the counts.
-    marks = spread.join(corrections(counts), "token").groupBy("side", "id").agg(F.map_from_entries(F.collect_list(F.struct("token", "right"))).alias("fix"))
-    joined = rows.join(marks, ["side", "id"], "left")
-
-    def put_right(c: str) -> Column:
-        fixed = F.transform(F.col(c), lambda t: F.coalesce(F.try_element_at(F.col("fix"), t), t))
-        return F.when(F.col("fix").isNull(), F.col(c)).otherwise(fixed)
-
-    text = joined.select(
-        "side", "id", expand(F.array_join(put_right("ta"), " ")).alias("qa"), expand(F.array_join(put_right("tb"), " ")).alias("qb"),
-    )
-    both = F.concat_ws(" | ", "qa", "qb")
-    in_order = lambda c: F.array_join(F.array_sort(F.split(bound(F.col(c)), " ")), " ")
-    return text.select(
-        "side", "id", both.alias("text"), F.concat_ws(" | ", in_order("qa"), in_order("qb")).alias("sorted_text"),
-        F.array_join(F.array_sort(F.regexp_extract_all(both, F.lit(r"(?<!\S)(\d+(?:\.\d+)?)(?!\S)"), 1)), " ").alias("facts"),
+def canonical(rows: DataFrame) -> DataFrame:
+    """`rows` (side, id, ta, tb) with `text` in order, `sorted_text` in canonical item order and `facts`: the numbers, and the items of either half."""
+    text = rows.select("side", "id", *[expand(F.array_join(c, " ")).alias(q) for c, q in (("ta", "qa"), ("tb", "qb"))])
+    items = text.select("side", "id", F.concat_ws(" | ", "qa", "qb").alias("text"), *[F.array_sort(F.split(bound(F.col(q)), " ")).alias(q) for q in ("qa", "qb")])
+    numbers = F.array_join(F.array_sort(F.regexp_extract_all("text", F.lit(r"(?<!\S)(\d+(?:\.\d+)?)(?!\S)"), 1)), " ")
+    return items.select(
+        "side", "id", "text", F.concat_ws(" | ", F.array_join("qa", " "), F.array_join("qb", " ")).alias("sorted_text"),
+        # A slip makes no item of two and none of nothing.
+        F.concat_ws("|", numbers, F.size("qa"), F.size("qb")).alias("facts"),
     )
 
 
@@ -127,14 +94,16 @@ def segment_join(cut: DataFrame, slide: DataFrame, k: int = EDITS) -> DataFrame:
 
     `cut` and `slide`: id, facts, s. Strings of `cut` are cut into k + 1 segments; one of
     them must stand unchanged in any string within k edits, shifted by no more than the
-    edits before it and after it allow. Substrings of `slide` at those places are matched
-    by an equi-join on a hash of the facts, the length, the segment's number and its text;
-    the strings themselves are fetched for candidates only.
+    edits before it and after it allow. Substrings of `slide` at those places, for the
+    lengths that strings of `cut` with its facts have, are matched by an equi-join on a
+    hash of the facts, the length, the segment's number and its text; the strings
+    themselves are fetched for candidates only.
     """
     m = k + 1
     bits = lambda c: f"transform(sequence(0, {k}), i -> xxhash64(facts, length({c}), i, substring({c}, cast(i * length({c}) div {m} as int) + 1, cast((i + 1) * length({c}) div {m} - i * length({c}) div {m} as int))))"
     left = cut.select(F.col("id").alias("cut_id"), F.explode(F.expr(bits("s"))).alias("h"))
     lens = slide.select(F.col("id").alias("slide_id"), "facts", F.col("s").alias("ss"), F.explode(F.expr(f"sequence(greatest(0, length(s) - {k}), length(s) + {k})")).alias("len"))
+    lens = lens.join(cut.select("facts", F.length("s").alias("len")).distinct(), ["facts", "len"], "left_semi")
     parts = lens.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(k))))
     at, size, delta = f"cast(i * len div {m} as int)", f"cast((i + 1) * len div {m} - i * len div {m} as int)", "(length(ss) - len)"
     low = f"greatest(0, {at} - i, {at} + {delta} - ({k} - i))"
@@ -156,13 +125,15 @@ def same_but_slips(pairs: DataFrame, counts: DataFrame) -> DataFrame:
 
     Items, numbers bound to them included, are compared with the times they occur. Each
     that the other text lacks must face one of the same half, number and unit whose word
-    is a slip of its own, or the other way round: one at least RATIO times as common by
-    distinct texts (`counts`: token, n), or a rare one of five letters or more. Units
-    are no slips, and words of four letters or fewer are slips one edit or swap away only.
+    is a slip of its own, or the other way round: one edit or swap from a word RATIO times
+    as common by distinct texts (`counts`: token, n), or a word of five letters or more
+    that stands in one text only or faces one LONG_RATIO times as common. A word that only stands for an
+    abbreviation is known. Units are no slips. Texts alike in all items are kept.
     """
     spread = lambda c: f"flatten(transform(split({c}, ' \\\\| '), (p, h) -> transform(split(p, ' '), w -> concat(h, ' ', w))))"
     numbered = lambda c: F.expr(f"transform({c}, (x, i) -> concat(x, ' ', size(filter(slice({c}, 1, i + 1), y -> y = x))))")
-    x = pairs.select("e", "t", F.expr(spread("es")).alias("_e"), F.expr(spread("ts")).alias("_t")).select("e", "t", numbered("_e").alias("_e"), numbered("_t").alias("_t"))
+    alike = pairs.filter("es = ts").select("e", "t")
+    x = pairs.filter("es <> ts").select("e", "t", F.expr(spread("es")).alias("_e"), F.expr(spread("ts")).alias("_t")).select("e", "t", numbered("_e").alias("_e"), numbered("_t").alias("_t"))
     x = x.select("e", "t", F.array_except("_e", "_t").alias("x"), F.array_except("_t", "_e").alias("y")).filter(F.size("x") == F.size("y"))
     x = x.filter(F.size("x").between(1, EDITS)).withColumn("size", F.size("x"))
     part = lambda c: F.split(c, " ")
@@ -171,8 +142,7 @@ def same_but_slips(pairs: DataFrame, counts: DataFrame) -> DataFrame:
     faced = faced.filter((part("x")[0] == part("y")[0]) & (F.expr("substring(xi, length(u) + 1) = substring(yi, length(v) + 1)")) & (F.col("u") != F.col("v")))
     known = counts.select(F.col("token").alias("u"), F.col("n").alias("nu")), counts.select(F.col("token").alias("v"), F.col("n").alias("nv"))
     faced = faced.join(known[0], "u", "left").join(known[1], "v", "left")
-    # Words that stand for abbreviations only are not counted, but known.
-    nu, nv = F.coalesce("nu", F.lit(RARE + 1)), F.coalesce("nv", F.lit(RARE + 1))
+    nu, nv = F.coalesce("nu", F.greatest("nv", F.lit(1)) * RATIO), F.coalesce("nv", F.greatest("nu", F.lit(1)) * RATIO)
     rarer, commoner = F.least(nu, nv), F.greatest(nu, nv)
     edits = F.levenshtein("u", "v")
     one = (edits == 1) | ((edits == 2) & (F.length("u") == F.length("v")) & (F.array_sort(F.split("u", "")) == F.array_sort(F.split("v", ""))))
@@ -181,30 +151,27 @@ def same_but_slips(pairs: DataFrame, counts: DataFrame) -> DataFrame:
     short = F.greatest(F.length("u"), F.length("v")) < 3
     by_ratio = (commoner >= RATIO * rarer) & one & ~(short & (edits == 1))
     slip = F.when(nu <= nv, F.length("u")).otherwise(F.length("v"))
-    faced = faced.filter(words & (by_ratio | ((rarer <= RARE) & (slip >= 5))))
+    faced = faced.filter(words & (by_ratio | (((commoner >= LONG_RATIO * rarer) | (rarer == 1)) & (slip >= 5))))
     met = faced.groupBy("e", "t").agg(F.first("size").alias("size"), F.countDistinct("x").alias("nx"), F.countDistinct("y").alias("ny"))
-    return met.filter("nx = size and ny = size").select("e", "t")
+    return alike.unionByName(met.filter("nx = size and ny = size").select("e", "t"))
 
 
 def find_overlaps(evals: DataFrame, trains: DataFrame) -> DataFrame:
     """Every pair (eval_id, train_id) of rows that agree up to writing.
 
     Inputs: id, a, b (for instance question and answer). Nulls count as empty; two
-    records without any token are no pair. Rows of equal canonical text are one class;
-    the segment join runs between all writings of all classes, and its links are expanded to rows last.
-    No input row is dropped; pairs come out once.
+    records without any token are no pair. Rows of equal items are one class; the segment
+    join runs between the writings of the two sides, equal ones included, and the links of
+    their classes are expanded to rows last. No input row is dropped; pairs come out once.
     """
     records = evals.select(F.lit("e").alias("side"), "id", "a", "b").unionByName(trains.select(F.lit("t").alias("side"), "id", "a", "b"))
-    tokens = folded(records)
-    counts = cut_lineage(word_counts(tokens))
-    # Written once: the classes, both sides of every join and the representatives all start from here.
-    rows = cut_lineage(canonical(tokens, counts).filter(F.length(F.regexp_replace("sorted_text", r"[ |]", "")) > 0).withColumn("cls", F.xxhash64("sorted_text", F.lit(1))))
-    e = rows.filter("side = 'e'").select(F.col("id").alias("eval_id"), F.col("cls").alias("ecls"), F.col("sorted_text").alias("es"))
-    t = rows.filter("side = 't'").select(F.col("id").alias("train_id"), F.col("cls").alias("tcls"), F.col("sorted_text").alias("ts"))
-    same = e.join(t, (F.col("ecls") == F.col("tcls")) & (F.col("es") == F.col("ts"))).select("eval_id", "train_id")
-
+    # Written once: the counts and both sides of every join start from here.
+    tokens = cut_lineage(folded(records))
+    counts = word_counts(tokens)
+    rows = canonical(tokens).filter(F.length(F.regexp_replace("sorted_text", r"[ |]", "")) > 0)
+    rows = cut_lineage(rows.withColumn("cls", F.xxhash64("sorted_text")))
     # Every writing of a class, since a slip may stand in an item order that only one member has.
-    reps = rows.select("side", "cls", "text", "sorted_text", "facts").distinct().withColumn("id", F.xxhash64("sorted_text", "text"))
+    reps = rows.select("side", "cls", F.xxhash64("sorted_text", "text").alias("id"), "text", "sorted_text", "facts").distinct()
     # Texts whose numbers no text of the other side has can have no partner.
     both = reps.groupBy("facts").agg(F.countDistinct("side").alias("_n")).filter("_n = 2").select("facts")
     reps = cut_lineage(reps.join(both, "facts", "left_semi"))
@@ -213,8 +180,8 @@ def find_overlaps(evals: DataFrame, trains: DataFrame) -> DataFrame:
     for s in ("text", "sorted_text"):
         pairs = segment_join(ereps.select("id", "facts", F.col(s).alias("s")), treps.select("id", "facts", F.col(s).alias("s"))).toDF("e", "t")
         links = pairs if links is None else links.unionByName(pairs)
-    links = links.filter("e <> t").distinct()
     named = lambda df, p: df.select(F.col("id").alias(p), F.col("cls").alias(f"{p}cls"), F.col("sorted_text").alias(f"{p}s"))
-    links = links.join(named(ereps, "e"), "e").join(named(treps, "t"), "t").filter("es <> ts").select(F.col("ecls").alias("e"), F.col("tcls").alias("t"), "es", "ts").distinct()
-    near = e.join(same_but_slips(links, counts).toDF("ecls", "tcls"), "ecls").join(t, "tcls").select("eval_id", "train_id")
-    return same.unionByName(near).distinct()
+    links = links.distinct().join(named(ereps, "e"), "e").join(named(treps, "t"), "t").select(F.col("ecls").alias("e"), F.col("tcls").alias("t"), "es", "ts").distinct()
+    good = same_but_slips(cut_lineage(links), counts).toDF("ecls", "tcls")
+    of = lambda side, name, cls: rows.filter(F.col("side") == side).select(F.col("id").alias(name), F.col("cls").alias(cls))
+    return good.join(of("e", "eval_id", "ecls"), "ecls").join(of("t", "train_id", "tcls"), "tcls").select("eval_id", "train_id").distinct()

@@ -61,3 +61,17 @@ def test_segment_join_finds_all_within_k(spark):
 
 def test_empty(spark):
     assert _pairs(spark, _records(3), []) == set()
+
+
+def test_all_pairs_come_from_the_segment_join(spark, monkeypatch):
+    evals, trains = _records(6), [(100 + i, a, b) for i, a, b in _records(6)]
+    assert len(_pairs(spark, evals, trains)) == 6
+    monkeypatch.setattr(O, "segment_join", lambda cut, slide, k=O.EDITS: cut.crossJoin(slide.limit(0).select("facts")).selectExpr("id as cut_id", "id as slide_id").limit(0))
+    assert _pairs(spark, evals, trains) == set()
+
+
+def test_slips_in_words_of_any_length(spark):
+    long = "ab" * 40
+    rows = [(i, "Which test?", f"The {long} test was {i + 1} mg.") for i in range(3)]
+    got = _pairs(spark, rows, [(10, "Which test?", f"The {long[:30]}x{long[30:]} test was 1 mg."), (11, "Which test?", f"The {long} test was 2 mg.")])
+    assert got == {(0, 10), (1, 11)}
