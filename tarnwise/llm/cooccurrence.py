@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnwise.session import broadcast_if_small
+from tarnwise.session import broadcast_if_small, cut_lineage
 
 
 def pair_counts(left: DataFrame, right: DataFrame, baskets: DataFrame) -> DataFrame:
@@ -17,12 +17,13 @@ def pair_counts(left: DataFrame, right: DataFrame, baskets: DataFrame) -> DataFr
 
     Items are made distinct a basket with map-side combining, so a basket that is sent a
     third of all rows shrinks to its distinct items before it is shuffled; pairs are
-    emitted inside the join and combined map-side by pair.
+    emitted inside the join and combined map-side by pair. The distinct items are written
+    once; marginals and pairs start from there.
     """
-    all_ = baskets.select("basket").filter(F.col("basket").isNotNull()).distinct()
+    all_ = cut_lineage(baskets.select("basket").filter(F.col("basket").isNotNull()).distinct())
     one = lambda df: df.select("basket", "item").filter(F.col("basket").isNotNull() & F.col("item").isNotNull()).distinct()
-    a = one(left).join(all_, "basket", "left_semi")
-    b = one(right).join(all_, "basket", "left_semi")
+    a = cut_lineage(one(left).join(all_, "basket", "left_semi"))
+    b = cut_lineage(one(right).join(all_, "basket", "left_semi"))
     n_left = broadcast_if_small(a.groupBy("item").agg(F.count(F.lit(1)).alias("n_left")).withColumnRenamed("item", "left_item"))
     n_right = broadcast_if_small(b.groupBy("item").agg(F.count(F.lit(1)).alias("n_right")).withColumnRenamed("item", "right_item"))
     n = all_.count()
