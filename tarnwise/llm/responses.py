@@ -20,6 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarnwise.llm.crf import Crf
+from tarnwise.llm.truncation import longer_copies
+from tarnwise.session import cut_lineage
 
 TAGS = ["answer", "refusal", "echo", "foreign", "unfinished"]
 #: Rows the field is trained on; a documented bound, the same at every size.
@@ -141,7 +143,8 @@ def featurise(question: str, reference: str, text: str, ends: float, partial: fl
         margin = other - lang[own]
         words = sum(v * n for v in lang.values())
         last = i == len(parts) - 1
-        open_end = last and not _END.search(c)
+        # An answer that ends as the reference does is complete, closing mark or not.
+        open_end = last and not _END.search(c) and not tail
         spoken, unable = bool(SPEAKER.search(c)), bool(INABILITY.search(c))
         impersonal = bool(IMPERSONAL.search(c))
         function = lang[own] * n >= 1 or other * n >= 2
@@ -150,7 +153,7 @@ def featurise(question: str, reference: str, text: str, ends: float, partial: fl
             [
                 1.0, spoken, unable, spoken and unable, impersonal, bool(COURTESY.match(c)), bool(OTHERS.search(c)) and not spoken and not impersonal and margin <= 0,
                 back, back > 0.85, max(-0.3, min(0.3, margin)) * 3, margin > 0.08 and other * n >= 2, lang[own] > 0.1,
-                open_end, open_end and function, open_end and dangling, open_end and prefix, open_end and tail,
+                open_end, open_end and function, open_end and dangling, open_end and prefix, last and tail,
                 open_end and ends < 0.02, open_end and partial > 0, n <= 3, words == 0, open_end and split[i][1],
             ]
         )
@@ -177,7 +180,9 @@ def training_set(sample: list[tuple[str, str]], ends: dict[str, tuple[float, flo
         if len(parts) == len(marks) and parts:
             out.append((x, [TAGS.index(m) for m in marks]))
 
-    for q, r, lang in spoken:
+    # Few rows serve more than once, so the field always sees as many sequences.
+    for i in range(max(len(spoken), SAMPLE_ROWS) if spoken else 0):
+        q, r, lang = spoken[i % len(spoken)]
         named = [t for t in _TOKEN.findall(r) if len(t) > 4 and t[0].isalpha() and not any(t.lower() in w for w in _WORDS.values())]
         subject = rnd.choice(named or ["fever"])
         kind = rnd.random()
@@ -210,9 +215,9 @@ def training_set(sample: list[tuple[str, str]], ends: dict[str, tuple[float, flo
 
 
 def train(sample: list[tuple[str, str]], ends: dict[str, tuple[float, float]]) -> Crf:
-    """A field trained on the sequences of a sample; with too few rows its weights come from the fixed phrases alone."""
-    base = [("What is the main finding of this admission?", "The main finding of this admission was anaemia, and iron was given."), ("¿Qué se sabe del ingreso de este paciente?", "El paciente ingresó por fiebre y se mantuvo el tratamiento.")] * 150
-    sequences = training_set(sample if len(sample) >= 50 else [*sample, *base], ends)
+    """A field trained on the sequences of a sample and, at every size, of fixed question and answer pairs, which carry it where the sample is small."""
+    base = [("What is the main finding of this admission?", "The main finding of this admission was anaemia, and iron was given."), ("¿Qué se sabe del ingreso de este paciente?", "El paciente ingresó por fiebre y se mantuvo el tratamiento.")]
+    sequences = training_set([*sample, *base], ends)
     t = max(len(y) for _, y in sequences)
     x, y, mask = np.zeros((len(sequences), t, N_FEATURES)), np.zeros((len(sequences), t), int), np.zeros((len(sequences), t), bool)
     for i, (a, b) in enumerate(sequences):
@@ -239,17 +244,18 @@ def defect(parts: list[str], prob: np.ndarray, empty: bool) -> str | None:
 
 
 def last_words(rows: DataFrame) -> DataFrame:
-    """(word, ends, partial) over all texts: how often a word stands before a closing mark, and whether a far commoner word begins with it.
+    """(word, ends, partial) over all texts: how often a word stands before a closing mark, and whether far commoner words begin with it.
+    A word of many texts must be rarer among them by another ten times, since few texts are cut at one place.
 
-    `rows`: text. Counts combine map-side; a word's beginnings are joined to words by equality.
+    `rows`: text. Counts combine map-side; copies count once, and words meet longer ones by hashes of their beginnings, whatever their length.
     """
     marked = F.regexp_replace(F.lower("text"), r"([^\p{L}\s]|^\s*|\s*$)+", " | ")
-    tokens = rows.select(F.split(F.concat(marked, F.lit(" | ")), r"\s+").alias("w"))
+    tokens = rows.select("text").distinct().select(F.split(F.concat(marked, F.lit(" | ")), r"\s+").alias("w"))
     pairs = tokens.select(F.explode(F.expr("transform(sequence(0, greatest(size(w) - 2, 0)), i -> named_struct('word', w[i], 'end', if(w[i + 1] = '|', 1, 0)))")).alias("p"))
     counts = pairs.select("p.word", "p.end").filter(F.col("word").rlike(r"^\p{L}+$")).groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.sum("end").alias("e"))
-    starts = counts.filter(F.length("word").between(2, 64)).select(F.explode(F.expr("transform(sequence(1, length(word) - 1), i -> substring(word, 1, i))")).alias("word"), F.col("n").alias("m"))
-    longer = starts.groupBy("word").agg(F.sum("m").alias("m"))
-    return counts.join(longer, "word", "left").select("word", (F.col("e") / F.col("n")).alias("ends"), (F.coalesce("m", F.lit(0)) > 20 * F.col("n")).cast("double").alias("partial"))
+    counts = cut_lineage(counts)
+    longer = longer_copies(counts.select(F.col("word").alias("value")), counts.select(F.col("word").alias("value"), "n")).toDF("word", "m")
+    return counts.join(longer, "word", "left").select("word", (F.col("e") / F.col("n")).alias("ends"), ((F.coalesce("m", F.lit(0)) > 20 * F.col("n")) & (F.coalesce("m", F.lit(0)) > 200 * (F.col("n") - 1))).cast("double").alias("partial"))
 
 
 def find_defects(rows: DataFrame) -> DataFrame:
@@ -261,7 +267,7 @@ def find_defects(rows: DataFrame) -> DataFrame:
     The sample of SAMPLE_ROWS rows is the one with the least hashes of its texts, so it
     does not depend on partitions.
     """
-    words = last_words(rows.select(F.explode(F.array("question", "reference", "answer")).alias("text")).filter("text is not null"))
+    words = cut_lineage(last_words(rows.select(F.explode(F.array("question", "reference", "answer")).alias("text")).filter("text is not null")))
     distinct = rows.select("question", "reference").filter("question is not null and reference is not null").distinct()
     sample = [(r[0], r[1]) for r in distinct.orderBy(F.xxhash64("question", "reference"), "question", "reference").limit(SAMPLE_ROWS).collect()]
     wanted = sorted({_last_word(r) for _, r in sample})
