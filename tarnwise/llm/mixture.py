@@ -30,7 +30,7 @@ def fit_budget(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarr
     rest = budget - int((take * lengths).sum())
     free = counts - take
     # Whole documents, the most plentiful lengths first, until the programme's table is small.
-    small = 4 * int(lengths.max()) if int(lengths.max()) < 50_000 else int(lengths.max())
+    small = 4 * int(lengths.max())
     for i in np.argsort(-free * lengths, kind="stable"):
         if rest <= small:
             break

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnwise.llm import mixture, tokens, truncation
+from tarnwise.session import cut_lineage
 from tarnwise.sources.catalog import table
 
 
@@ -15,9 +16,10 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _sizes(spark: SparkSession, d: str) -> DataFrame:
+    """Tokens of each document; written once, since a mixture reads them several times."""
     docs = table(spark, d, "documents")
     keyed = docs.withColumn("key", F.struct("doc_id", "source")).select("key", "text")
-    return tokens.encode(keyed, "key", ids=False).select("key.doc_id", "key.source", "n_tokens")
+    return cut_lineage(tokens.encode(keyed, "key", ids=False).select("key.doc_id", "key.source", "n_tokens"))
 
 
 def p8_sizes(spark: SparkSession, d: str) -> DataFrame:
