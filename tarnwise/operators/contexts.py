@@ -32,6 +32,22 @@ def by_mode(questions: DataFrame, modes: list[str] = MODES) -> DataFrame:
     return x.withColumn("record", F.when(F.col("mode") != "T", F.col("record"))).withColumn("facts", F.when(F.col("mode") == "T+E+K", F.col("facts")))
 
 
+# Words that tell a paragraph of facts has none.
+NO_FACTS = "No relevant"
+
+
+def split_facts(paragraph: Column) -> Column:
+    """Single facts of a paragraph: its parts between full stops, each closed by one; none where it is null, blank or says so."""
+    parts = F.transform(F.split(paragraph, r"\."), lambda p: F.regexp_replace(p, r"^\s+|\s+$", ""))
+    facts = F.transform(F.filter(parts, lambda p: p != ""), lambda p: F.concat(p, F.lit(".")))
+    return F.when(paragraph.isNull() | F.contains(paragraph, F.lit(NO_FACTS)), F.array().cast("array<string>")).otherwise(facts)
+
+
+def served_mode(mode: Column, entity: Column) -> Column:
+    """The mode a question is served by: text alone where the entity that its record and facts hang on is missing."""
+    return F.when(entity.isNull() & mode.isin(MODES[1:]), F.lit(MODES[0])).otherwise(mode)
+
+
 def fit_passages(passages: Column, budget: int) -> Column:
     """Leading passages whose tokens together stay within `budget`; the first is cut to it rather than dropped."""
     size = lambda p: F.size(words_of(p))

@@ -203,19 +203,20 @@ def context_echo(answer: Column, context: Column) -> Column:
 
 
 def decoys(rows: DataFrame, key: str, length: str, near: int = 25, seed: int = 9) -> DataFrame:
-    """(key, decoy): another row of like length for each row: one of its `near` neighbours in order of length, by hash.
+    """(key, decoy): another row of like length for each row: one of the `near` rows around it in order of length, by hash.
 
-    Neighbours are taken in order of (length, key) within shards of a global sort, so no
-    row is paired with all others; the ends of a shard look one way.
+    The rows around it are as many before as after it in order of (length, key), more on
+    one side at an end, within shards of a global sort, so no row is paired with all others.
     """
     shards = max(1, rows.count() // 50_000)
     edges = rows.approxQuantile(length, [i / shards for i in range(1, shards)], 0.001) if shards > 1 else []
     shard = sum(((F.col(length) > e).cast("int") for e in edges), F.lit(0))
     w = Window.partitionBy("_s").orderBy(length, key)
     x = rows.select(key, length, shard.alias("_s")).withColumn("_p", F.row_number().over(w)).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("_s")))
-    half = (near + 1) // 2
-    shift = F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(half)) + 1
-    to = F.when(F.col("_p") + shift <= F.col("_n"), F.col("_p") + shift).otherwise(F.greatest(F.lit(1), F.col("_p") - shift))
+    first = F.greatest(F.lit(1), F.least(F.col("_p") - near // 2, F.col("_n") - near))
+    size = F.least(F.lit(near), F.col("_n") - 1)
+    nth = first + F.pmod(F.xxhash64(key, F.lit(seed)), F.greatest(size, F.lit(1)))
+    to = nth + (nth >= F.col("_p")).cast("int")
     a = x.withColumn("_to", to)
     b = x.select("_s", F.col("_p").alias("_to"), F.col(key).alias("decoy"))
     return a.join(b, ["_s", "_to"]).filter(F.col(key) != F.col("decoy")).select(key, "decoy")

@@ -18,8 +18,8 @@ def newest(df: DataFrame, entity: str, ts: str, ties: Sequence[str], n: int, las
     """The `n` newest rows of each entity, rows without time last; with `last_days`, only those within so many days of the entity's newest row."""
     rows = df
     if last_days is not None:
-        top = F.max(ts).over(Window.partitionBy(entity))
-        rows = rows.withColumn("_top", top).filter(F.col(ts) >= F.col("_top") - F.expr(f"make_dt_interval({int(last_days)})")).drop("_top")
+        top = df.groupBy(F.col(entity).alias("_entity")).agg(F.max(ts).alias("_top"))  # combined map-side, so no entity's rows are held for it
+        rows = df.join(top, F.col(entity).eqNullSafe(F.col("_entity"))).filter(F.col(ts) >= F.col("_top") - F.expr(f"make_dt_interval({int(last_days)})")).drop("_entity", "_top")
     w = Window.partitionBy(entity).orderBy(F.col(ts).desc_nulls_last(), *[F.col(t).asc_nulls_last() for t in ties])
     return rows.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= n)
 

@@ -61,6 +61,18 @@ def stratified(df: DataFrame, stratum: str, key: str, quotas: dict[str, int], se
     return df.filter(F.col(stratum).isin(list(quotas))).withColumn("rn", F.row_number().over(w)).filter((F.col("rn") <= most) & (F.col("rn") <= want))
 
 
+def review_strata(df: DataFrame, flagged: Column, missed: Column) -> DataFrame:
+    """`df` with `stratum`: flagged, possible_miss (not flagged, but suspect) or control; rows whose flag is null are left out."""
+    return df.filter(flagged.isNotNull()).withColumn("stratum", F.when(flagged, "flagged").when(F.coalesce(missed, F.lit(False)), "possible_miss").otherwise("control"))
+
+
+def numbered_sample(df: DataFrame, keys: Sequence[str], n: int, seed: int = 42, name: str = "sample_id") -> DataFrame:
+    """The first `n` distinct rows in hash order of `keys`, numbered from 1. The sort keeps n rows a task."""
+    rows = df.distinct().withColumn("_h", order_hash(F.concat_ws("|", *[F.coalesce(F.col(k).cast("string"), F.lit("-")) for k in keys]), seed))
+    some = rows.orderBy("_h", *keys).limit(n)
+    return some.withColumn(name, F.row_number().over(Window.orderBy("_h", *keys))).drop("_h")  # n rows
+
+
 def even_quotas(strata: Sequence[str], n: int) -> dict[str, int]:
     """n shared out evenly, the first strata taking the remainder."""
     base, more = divmod(n, len(strata))

@@ -55,8 +55,7 @@ def mcnemar_exact(b: int, c: int) -> float | None:
     n = b + c
     if not n:
         return None
-    tail = sum(math.comb(n, i) for i in range(min(b, c) + 1)) / 2**n if n < 1000 else 0.5 * math.erfc((abs(b - c) - 1) / math.sqrt(2 * n))
-    return min(1.0, 2 * tail)
+    return min(1.0, 2 * _binomial_cdf(min(b, c), n, 0.5))
 
 
 def holm(ps: list[float]) -> list[float]:
@@ -76,9 +75,17 @@ def _binomial_cdf(k: int, n: int, p: float) -> float:
         return 1.0
     if p >= 1:
         return 0.0
-    logs = [math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log1p(-p) for i in range(k + 1)]
-    top = max(logs)
-    return min(1.0, math.exp(top) * math.fsum(math.exp(x - top) for x in logs))
+    log_of = lambda i: math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log1p(-p)
+    # Terms fall away from the mode on both sides, so those below e^-60 of the greatest add nothing.
+    mode = min(k, int((n + 1) * p))
+    top, total = log_of(mode), []
+    for steps in (range(mode, -1, -1), range(mode + 1, k + 1)):
+        for i in steps:
+            x = log_of(i) - top
+            if x < -60:
+                break
+            total.append(math.exp(x))
+    return min(1.0, math.exp(top) * math.fsum(total))
 
 
 def clopper_pearson(k: int, n: int, level: float = 0.95) -> tuple[float, float]:
@@ -136,15 +143,49 @@ def bootstrap_intervals(wide: DataFrame, systems: list[str], draws: int = 10_000
     return [{"system": s, "mean": centre[s], "low": float(np.quantile(means[:, i], 0.025)), "high": float(np.quantile(means[:, i], 0.975))} for i, s in enumerate(systems)]
 
 
+#: Ranges of values that counts are summed over before anything is ordered; no window holds more than a range.
+RANGES = 4096
+
+
+def _counts_below(counts: DataFrame, keys: list[str], value: str, n: str) -> DataFrame:
+    """`counts` (keys, value, n; one row a value) with `below`: the sum of n of all lesser values of its keys.
+
+    Values fall into RANGES equal ranges between the least and greatest; range sums are
+    cumulated first, and values are ordered within their range only.
+    """
+    span = counts.groupBy(*keys).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
+    at = counts.join(F.broadcast(span), keys)  # a row a group
+    width = F.when(F.col("_hi") > F.col("_lo"), (F.col(value) - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))).otherwise(0.0)
+    at = at.withColumn("_r", F.least(F.floor(width * RANGES), F.lit(RANGES - 1)).cast("int")).drop("_lo", "_hi")
+    before = lambda w: F.coalesce(F.sum("_s").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranges = at.groupBy(*keys, "_r").agg(F.sum(n).alias("_s")).withColumn("_before", before(Window.partitionBy(*keys).orderBy("_r"))).drop("_s")
+    within = F.coalesce(F.sum(n).over(Window.partitionBy(*keys, "_r").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return at.join(ranges, [*keys, "_r"]).withColumn("below", F.col("_before") + within).drop("_r", "_before")
+
+
+def exact_percentiles(rows: DataFrame, group: str, value: str, ps: list[float]) -> DataFrame:
+    """(group, n, p0, p1, ...): interpolated percentiles of a column, from counts of its distinct values by ranges."""
+    x = rows.select(F.col(group), F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull() & ~F.isnan("_v"))
+    counts = x.groupBy(group, "_v").agg(F.count(F.lit(1)).alias("_n"))
+    names = counts.select(group).distinct().withColumn("_g", F.xxhash64(group))  # nulls are a group of their own
+    placed = _counts_below(counts.withColumn("_g", F.xxhash64(group)).drop(group), ["_g"], "_v", "_n")
+    totals = counts.groupBy(F.xxhash64(group).alias("_g")).agg(F.sum("_n").alias("n"))
+    at = placed.join(F.broadcast(totals), "_g")
+    pick = lambda rank: F.max(F.when((F.col("below") <= rank) & (F.col("below") + F.col("_n") > rank), F.col("_v")))
+    places = [(F.col("n") - 1) * F.lit(p) for p in ps]
+    found = at.groupBy("_g").agg(F.first("n").alias("n"), *[pick(F.floor(r)).alias(f"_lo{i}") for i, r in enumerate(places)], *[pick(F.ceil(r)).alias(f"_hi{i}") for i, r in enumerate(places)])
+    cols = [(F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * (r - F.floor(r))).alias(f"p{i}") for i, r in enumerate(places)]
+    return found.join(F.broadcast(names), "_g").select(group, "n", *cols)
+
+
 def wilcoxon(wide: DataFrame, a: str, b: str) -> dict:
     """Signed-rank test of paired columns by the normal approximation with tie correction; p is 1 where all differences are 0.
 
-    Ranks come from counts of each absolute difference, so nothing is sorted in one task.
+    Ranks come from counts of each absolute difference, summed by ranges, so nothing is sorted in one task.
     """
     d = wide.select(F.round(F.col(a) - F.col(b), 12).alias("d")).filter("d <> 0")
     counts = d.groupBy(F.abs("d").alias("m")).agg(F.count(F.lit(1)).alias("t"), F.count_if(F.col("d") > 0).alias("plus"))
-    below = F.coalesce(F.sum("t").over(Window.orderBy("m").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # distinct differences only
-    ranked = counts.withColumn("rank", below + (F.col("t") + 1) / 2)
+    ranked = _counts_below(counts.withColumn("_g", F.lit(0)), ["_g"], "m", "t").withColumn("rank", F.col("below") + (F.col("t") + 1) / 2)
     r = ranked.agg(F.sum("t").alias("n"), F.sum(F.col("plus") * F.col("rank")).alias("w"), F.sum(F.col("t") ** 3 - F.col("t")).alias("ties")).first()
     n = r["n"] or 0
     if not n:
@@ -167,6 +208,26 @@ def pearson_p(r: float, n: int) -> float:
     return math.erfc(abs(math.atanh(r)) * math.sqrt(n - 3) / math.sqrt(2))
 
 
+def over_limit(df: DataFrame, column: str, limit: float, group: str) -> DataFrame:
+    """(group, n, n_over, most): rows and those above `limit`."""
+    return df.groupBy(group).agg(F.count(column).alias("n"), F.count_if(F.col(column) > limit).alias("n_over"), F.max(column).alias("most"))
+
+
+def assert_within(df: DataFrame, column: str, limit: float) -> None:
+    """Raise if a row is above `limit`, with how many are."""
+    n = df.filter(F.col(column) > limit).count()
+    if n:
+        raise ValueError(f"{n} rows have {column} above {limit}")
+
+
+def gate(tp: int, fp: int, fn: int, tn: int, least_true: int) -> dict:
+    """Precision with its exact interval, recall, accuracy, and whether the count of true flags reaches a bar set beforehand."""
+    n = tp + fp + fn + tn
+    low, high = clopper_pearson(tp, tp + fp) if tp + fp else (float("nan"), float("nan"))
+    nan = float("nan")
+    return {"precision": tp / (tp + fp) if tp + fp else nan, "low": low, "high": high, "recall": tp / (tp + fn) if tp + fn else nan, "accuracy": (tp + tn) / n if n else nan, "passed": tp >= least_true}
+
+
 def integrity(before: DataFrame, after: DataFrame, key: str, column: str) -> None:
     """Raise if a row that had a positive `column` before has none after."""
     lost = before.filter(F.col(column) > 0).select(key).join(after.filter(F.col(column) > 0).select(key), key, "left_anti")

@@ -74,13 +74,13 @@ def unit_dictionary(items: DataFrame, units: DataFrame) -> DataFrame:
     spell = spark.createDataFrame([(k, s) for k, all_ in SPELLINGS.items() for s in all_], "own string, unit_key string")
     tests = items.select("itemid", F.trim("label").alias("test")).filter(F.length("test") > 0).dropDuplicates(["itemid"])
     own = units.select(
-        F.lower(F.trim("label")).alias("t"), "unit_code", F.col("factor_to_common").alias("factor"), F.coalesce("is_common", F.lit(False)).alias("is_common"), unit_key(F.col("unit_code")).alias("own")
+        F.lower(F.trim("label")).alias("t"), "unit_code", F.col("factor_to_common").alias("factor"), (F.col("offset_to_common") if "offset_to_common" in units.columns else F.lit(0.0)).cast("double").alias("offset"), F.coalesce("is_common", F.lit(False)).alias("is_common"), unit_key(F.col("unit_code")).alias("own")
     ).filter(F.col("unit_code").isNotNull())
     known = own.join(spell, "own", "left").withColumn("unit_key", F.explode(F.array_distinct(F.array(F.col("own"), F.coalesce("unit_key", F.col("own"))))))
-    best = F.min_by(F.struct("unit_code", "factor", "is_common"), F.struct((F.col("own") != F.col("unit_key")).cast("int"), (~F.col("is_common")).cast("int"), "unit_code"))
+    best = F.min_by(F.struct("unit_code", "factor", "offset", "is_common"), F.struct((F.col("own") != F.col("unit_key")).cast("int"), (~F.col("is_common")).cast("int"), "unit_code"))
     per_test = known.groupBy("t", "unit_key").agg(best.alias("b")).select("t", "unit_key", "b.*")
     common = own.filter("is_common").groupBy("t").agg(F.min("unit_code").alias("common_code"))
-    return tests.join(per_test, F.lower("test") == F.col("t")).join(common, "t", "left").select("itemid", "test", "unit_key", "unit_code", "factor", "is_common", "common_code")
+    return tests.join(per_test, F.lower("test") == F.col("t")).join(common, "t", "left").select("itemid", "test", "unit_key", "unit_code", "factor", "offset", "is_common", "common_code")
 
 
 #: Distinct (itemid, label, valueuom) triples up to which spellings are resolved once per triple.
@@ -94,7 +94,8 @@ def to_common_units(readings: DataFrame, items: DataFrame, units: DataFrame) ->
     columns named like a result's are replaced. A unit field that names no unit of the
     item's test yields to the label's text; a row that names none is taken to be in the
     common unit (`default`); an item without a test keeps its value (`none`). Null and
-    NaN values give null. Rows are never lost or repeated.
+    NaN values give null. Rows are never lost or repeated. `units` may have a column
+    offset_to_common, added after the factor (temperatures); without it offsets are 0.
 
     Spellings repeat, so they are resolved once per distinct triple of item, label and
     unit field (a map-side combined distinct) and joined back by broadcast; where the
@@ -116,7 +117,7 @@ def to_common_units(readings: DataFrame, items: DataFrame, units: DataFrame) ->
     return joined.select(
         *[F.col(f"`{c}`") for c in base.columns],
         *[F.col(f"_to.{c}").alias(c) for c in ("unit_code", "unit_from", "common_code")],
-        (value * F.col("_to.factor")).alias("value_common"),
+        (value * F.col("_to.factor") + F.col("_to.offset")).alias("value_common"),
         F.col("_to.is_common").alias("in_common_unit"),
     )
 
@@ -131,7 +132,7 @@ def _resolve(rows: DataFrame, items: DataFrame, units: DataFrame) -> DataFrame:
         .join(units.filter("is_common").groupBy(F.lower(F.trim("label")).alias("_l")).agg(F.min("unit_code").alias("_common")), F.lower("_test") == F.col("_l"), "left")
         .drop("_l")
     )
-    named = F.struct("unit_code", "factor", "is_common", "common_code")
+    named = F.struct("unit_code", "factor", "offset", "is_common", "common_code")
     field = lookup.select(F.col("itemid").alias("_fi"), F.col("unit_key").alias("_fk"), named.alias("_field"))
     text = lookup.select(F.col("itemid").alias("_ti"), F.col("unit_key").alias("_tk"), named.alias("_text"))
     joined = (
@@ -148,6 +149,7 @@ def _resolve(rows: DataFrame, items: DataFrame, units: DataFrame) -> DataFrame:
         told.alias("unit_from"),
         F.coalesce("_common", "_unit.common_code").alias("common_code"),
         F.coalesce("_unit.factor", F.lit(1.0)).alias("factor"),
+        F.coalesce("_unit.offset", F.lit(0.0)).alias("offset"),
         F.coalesce("_unit.is_common", F.lit(True)).alias("is_common"),
     )
     return joined.select(*[F.col(f"`{c}`") for c in rows.columns], to.alias("_to"))

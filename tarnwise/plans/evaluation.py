@@ -56,8 +56,9 @@ def unstack_fill(s: SparkSession, d: str) -> DataFrame:
 def percentiles(s: SparkSession, d: str) -> DataFrame:
     """Latency quantiles by system, exact."""
     x = T(s, d, _R).filter("total_latency_ms >= 0 and not isnan(total_latency_ms)")
-    p = lambda q: F.round(F.percentile("total_latency_ms", q), 4)
-    return x.groupBy("system").agg(F.round(F.avg("total_latency_ms"), 4).alias("mean"), p(0.5).alias("median"), p(0.95).alias("p95"), p(0.99).alias("p99"), F.max("total_latency_ms").alias("most"))
+    q = stats.exact_percentiles(x, "system", "total_latency_ms", [0.5, 0.95, 0.99]).withColumnRenamed("system", "_system")
+    means = x.groupBy("system").agg(F.round(F.avg("total_latency_ms"), 4).alias("mean"), F.max("total_latency_ms").alias("most"))
+    return means.join(q, F.col("system").eqNullSafe(F.col("_system"))).select("system", "mean", *[F.round(c, 4).alias(n) for c, n in (("p0", "median"), ("p1", "p95"), ("p2", "p99"))], "most")
 
 
 def latency_split(s: SparkSession, d: str) -> DataFrame:

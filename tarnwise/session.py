@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 from pathlib import Path
 
@@ -43,16 +44,19 @@ def share_package(spark: SparkSession) -> None:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder: `spark.checkpoint.dir`, or a temporary one where that is unset.
+    """The shared checkpoint folder: `spark.checkpoint.dir`, or a temporary one where that is unset and all runs in one process.
 
-    The temporary folder serves single-machine runs and tests only; on a cluster
-    the setting names a folder all executors share.
+    On a cluster the setting must name a folder all executors share; without it this raises.
     """
     sc = spark.sparkContext
     known = sc._jsc.sc().getCheckpointDir()
     if known.isDefined():
         return known.get()
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tarnwise-ckpt-")
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="tarnwise-ckpt-")
     sc.setCheckpointDir(folder)
     return folder
 
