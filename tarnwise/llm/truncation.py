@@ -37,9 +37,11 @@ def units_of(docs: DataFrame, text: str = "text") -> DataFrame:
     lines = F.split(strip_padding(F.col(text)), r"[\r\n  \u0085]+")
     parts = F.transform(lines, lambda x: F.transform(F.split(strip_padding(x), r"(?<=[.!?])\s+(?=\S)"), lambda s, i: F.struct(s.alias("unit"), (i > 0).alias("inner"))))
     units = F.filter(F.flatten(parts), lambda u: F.length(strip_padding(u["unit"])) > 0)
-    rows = docs.select("doc_id", "source", F.posexplode(units).alias("pos", "u"), F.size(units).alias("n")).select("doc_id", "source", "pos", "n", "u.unit", "u.inner")
+    # The array is a column of its own before it is exploded, else it would be made again for each unit.
+    whole = docs.select("doc_id", "source", units.alias("units"))
+    rows = whole.select("doc_id", "source", F.posexplode("units").alias("pos", "u"), F.size("units").alias("n")).select("doc_id", "source", "pos", "n", "u.unit", "u.inner")
     mask = F.regexp_replace(F.regexp_replace(F.lower("unit"), r"\d+", "9"), BLANKS, " ")
-    closed = F.col("unit").rlike(CLOSED) & ~F.col("unit").rlike(r"(?:\.\.\.|…)\W*$")
+    closed = F.col("unit").rlike(CLOSED) & ~F.when(F.contains("unit", F.lit("...")) | F.contains("unit", F.lit("…")), F.col("unit").rlike(r"(?:\.\.\.|…)\W*$")).otherwise(False)
     return rows.select("doc_id", "source", mask.alias("mask"), closed.alias("closed"), (F.col("pos") == F.col("n") - 1).alias("last"), "inner")
 
 
