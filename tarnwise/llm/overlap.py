@@ -20,7 +20,6 @@ from tarnwise.session import cut_lineage
 ABBREVIATIONS = [
     (r"\by/o\b|\byo\b|\byrs?/o\b", "year old"),
     (r"\bw/", "with "),
-    (r"\bday (?=\d)", "d "),
     (r"\bdx\b", "diagnosis"),
     (r"\badm\b", "admitted"),
     (r"\bcont\b", "continue"),
@@ -51,12 +50,14 @@ def fold_tokens(text: Column) -> Column:
     return F.regexp_extract_all(x, F.lit(r"(\d+(?:\.\d+)?|[\p{L}\p{M}%/]+)"), 1)
 
 
-def expand(text: Column) -> Column:
-    """Blank-separated tokens with abbreviations written out, 'and' and set phrases taken off."""
-    for pattern, full in ABBREVIATIONS:
-        text = F.regexp_replace(text, pattern, full)
-    text = F.regexp_replace(text, r"\band\b", " ")
-    text = F.trim(F.regexp_replace(text, r"\s+", " "))
+def expand(tokens: Column) -> Column:
+    """Blank-separated tokens with abbreviations written out (days cut to d), 'and' and set phrases taken off."""
+    text = F.regexp_replace(F.array_join(F.array_remove(tokens, "and"), " "), r"\bday (?=\d)", "d ")
+    full = text
+    for pattern, word in ABBREVIATIONS:
+        full = F.regexp_replace(full, pattern, word)
+    # Few texts hold an abbreviation, so one look saves the others the thirteen.
+    text = F.when(text.rlike("|".join(p for p, _ in ABBREVIATIONS)), F.trim(F.regexp_replace(full, r"\s+", " "))).otherwise(text)
     text = F.regexp_replace(text, r"^(?:(?:" + "|".join(sorted(LEADS, key=len, reverse=True)) + r") )+", "")
     return F.regexp_replace(text, r"(?: (?:" + "|".join(TAILS) + r"))+$", "")
 
@@ -79,7 +80,7 @@ def word_counts(rows: DataFrame) -> DataFrame:
 
 def canonical(rows: DataFrame) -> DataFrame:
     """`rows` (side, id, ta, tb) with `text` in order, `sorted_text` in canonical item order and `facts`: the numbers, and the items of either half."""
-    text = rows.select("side", "id", *[expand(F.array_join(c, " ")).alias(q) for c, q in (("ta", "qa"), ("tb", "qb"))])
+    text = rows.select("side", "id", *[expand(F.col(c)).alias(q) for c, q in (("ta", "qa"), ("tb", "qb"))])
     items = text.select("side", "id", F.concat_ws(" | ", "qa", "qb").alias("text"), *[F.array_sort(F.split(bound(F.col(q)), " ")).alias(q) for q in ("qa", "qb")])
     numbers = F.array_join(F.array_sort(F.regexp_extract_all("text", F.lit(r"(?<!\S)(\d+(?:\.\d+)?)(?!\S)"), 1)), " ")
     return items.select(
