@@ -169,8 +169,9 @@ def find_overlaps(evals: DataFrame, trains: DataFrame) -> DataFrame:
     # Written once: the counts and both sides of every join start from here.
     tokens = cut_lineage(folded(records))
     counts = word_counts(tokens)
-    rows = canonical(tokens).filter(F.length(F.regexp_replace("sorted_text", r"[ |]", "")) > 0)
-    rows = cut_lineage(rows.withColumn("cls", F.xxhash64("sorted_text")))
+    rows = cut_lineage(canonical(tokens).withColumn("cls", F.xxhash64("sorted_text")))
+    # Behind the checkpoint: before it the filter would make every canonical text a second time.
+    rows = rows.filter(F.length(F.regexp_replace("sorted_text", r"[ |]", "")) > 0)
     # Every writing of a class, since a slip may stand in an item order that only one member has.
     reps = rows.select("side", "cls", F.xxhash64("sorted_text", "text").alias("id"), "text", "sorted_text", "facts").distinct()
     # Texts whose numbers no text of the other side has can have no partner.
